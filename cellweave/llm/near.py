@@ -42,7 +42,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
 #: What one block of a cluster holds, about.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 2048
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
 
 
 @lru_cache
@@ -128,20 +128,19 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(keys: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Pairs of rows that share a band, as first * n + second, each once; side: rows of equal side >= 0 aren't paired."""
-    n, found = len(keys), np.zeros(0, np.int64)
+    """Pairs of rows that share a band, in two columns, each once; rows of equal side >= 0 aren't paired."""
+    n = len(keys)
+    shared = np.zeros((n, n), bool)  # two blocks at most, so a few MB
     for band in keys.T:
         order = np.argsort(band, kind="stable")
         x = band[order]
         starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
         sizes = np.diff(np.r_[starts, n])
         for at, size in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            rows = np.sort(order[at : at + size])
-            i, j = np.triu_indices(size, 1)
-            i, j = rows[i], rows[j]
-            ok = (side[i] < 0) | (side[i] != side[j])
-            found = np.union1d(found, i[ok] * n + j[ok])
-    return found
+            rows = order[at : at + size]
+            shared[rows[:, None], rows] = True
+    shared &= (side[:, None] != side) | (side < 0)
+    return np.argwhere(np.triu(shared, 1))
 
 
 def _verified(sets: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
@@ -177,8 +176,7 @@ def links(texts: list[str | None], side: np.ndarray, threshold: float = THRESHOL
         sets += [np.unique(x) for x in np.split(shingles, np.cumsum(n)[:-1])]
     signature = np.concatenate(sigs)
     live = np.flatnonzero(np.concatenate(counts))
-    flat = _candidates(bands(signature[live]), side[live])
-    pairs = np.stack([live[flat // max(len(live), 1)], live[flat % max(len(live), 1)]], axis=1)
+    pairs = live[_candidates(bands(signature[live]), side[live])]
     matches = np.zeros(len(pairs), np.int32)
     for n, least in least_matches(threshold, tolerance).items():
         for at in range(0, len(pairs), 1 << 16):
@@ -205,7 +203,7 @@ def _roots(n: int, pairs: np.ndarray) -> list[int]:
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (cluster, i, j, block, doc_id, copies, text) -> (doc_id, links, root, whole) for each unit (cluster, i, j)."""
+    """Sorted rows (cluster, i, j, parts, block, doc_id, copies, text) -> (doc_id, links, root, whole) for each unit (cluster, i, j)."""
     unit, held = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -218,7 +216,7 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(rows)) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(rows))
             some = np.flatnonzero(n)
             roots = np.array(_roots(len(rows), pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[roots[some]])], names=["doc_id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[roots[some]]), pa.array(np.full(len(some), unit[3] == 1))], names=["doc_id", "links", "root", "whole"])
 
     for batch in batches:
         for *key, block, doc, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -239,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = id_and_text(docs, id_col, text_col)
     with Scratch(spark) as tmp:
         seen = tmp.table(source.where("doc_id is not null").mapInArrow(_profile, "doc_id long, k1 long, k2 long, n long, bands array<long>").dropDuplicates(["doc_id"]), "profile")
-        copies = seen.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"))
+        copies = seen.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")).where("copies > 1")
+        copies = tmp.table(copies, "copies")  # a table, so that the join below can split a hot class
         classes = tmp.table(seen.drop("bands").join(copies, ["k1", "k2"], "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n"), "classes")
         reps = classes.where("doc_id = copy_id and n > 0").select("doc_id", "copies", "n")
 
@@ -252,14 +251,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         size = held.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
         held = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
         held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        held = held.select("doc_id", "copies", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+        held = held.select("doc_id", "copies", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "parts", "block")
         work = source.dropDuplicates(["doc_id"]) if False else source
-        work = work.join(held, "doc_id").select("cluster", "i", "j", "block", "doc_id", "copies", "text")
+        work = work.join(held, "doc_id").select("cluster", "i", "j", "parts", "block", "doc_id", "copies", "text")
         work = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        found = tmp.table(work.mapInArrow(_unit, "doc_id long, links long, root long"), "links")
+        found = tmp.table(work.mapInArrow(_unit, "doc_id long, links long, root long, whole boolean"), "links")
 
-        groups = components(tmp, found.where("doc_id <> root").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-        counts = found.groupBy("doc_id").agg(F.sum("links").alias("links")).join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id")
+        groups = components(tmp, found.where("not whole").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+        counts = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+        counts = counts.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "links", F.coalesce("component", "root").alias("component"))
         out = classes.join(counts.withColumnRenamed("doc_id", "copy_id"), "copy_id", "left")
         out = out.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         alone = source.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
