@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellweave.llm.classify import fit, score
 from cellweave.llm.decontam import contaminated
 from cellweave.llm.html import main_text
 from cellweave.llm.lengths import token_counts
@@ -23,6 +24,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
