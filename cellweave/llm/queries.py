@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm.classify import fit, score
 from cellweave.llm.decontam import contaminated
+from cellweave.llm.hmm import MarkovScorer
 from cellweave.llm.html import main_text
 from cellweave.llm.lengths import token_counts
 from cellweave.llm.media import media_digests
@@ -57,6 +58,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MarkovScorer(_read(spark, sf_dir, "documents")).scores()
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media_columns": op6_media_columns,
     "op7_html_extraction": op7_html_extraction,
     "op8_packing": op8_packing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
