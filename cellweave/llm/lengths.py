@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.session import Scratch
 from cellweave.llm.tokens import tokenizer
+from cellweave.llm.words import slices
 
 RANGE = 1024
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     t, seen = tokenizer(path), {}
-    for batch in batches:
-        lengths = np.fromiter((len(t.encode(x.as_py())) // 4 for x in batch.column(0)), np.int64, batch.num_rows)
+    for part in (x for batch in batches for x in slices(batch)):
+        lengths = np.diff(t.encode_flat(part.column(0))[1])
         for n, c in zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True):
             seen[n] = seen.get(n, 0) + c
     yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["n_tokens", "n_docs"])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from cellweave.llm.session import id_and_text
 from cellweave.llm.tokens import tokenizer
+from cellweave.llm.words import slices
 
 LENGTH = 4096
 END_ID = 2
@@ -109,7 +110,6 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) -
     t = tokenizer(path)
     ending = t.ending()
     sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(segments: list[tuple], last: bool) -> tuple[pa.RecordBatch, list[tuple]]:
         """segments: (doc_id, ids, start, doc_tokens).  Returns the pieces, and what opens the next block if more may come."""
@@ -141,14 +141,17 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) -
 
     segments, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.frombuffer(t.encode(text.as_py()) + end, "<u4")
-            segments.append((doc, ids, 0, len(ids)))
-            size += len(ids)
-            if size >= BLOCK_TOKENS:
-                out, segments = run(segments, last=False)
-                size = sum(len(s[1]) for s in segments)
-                yield out
+        for part in slices(batch):
+            flat, bounds = t.encode_flat(part.column(1))
+            flat, bounds = np.insert(flat, bounds[1:], END_ID), (bounds + np.arange(len(bounds))).tolist()
+            for doc, i, j in zip(part.column(0).to_pylist(), bounds, bounds[1:], strict=False):
+                ids = flat[i:j]
+                segments.append((doc, ids, 0, len(ids)))
+                size += len(ids)
+                if size >= BLOCK_TOKENS:
+                    out, segments = run(segments, last=False)
+                    size = sum(len(s[1]) for s in segments)
+                    yield out
     if segments:
         yield run(segments, last=True)[0]
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 from cellweave.llm import packing
 from cellweave.llm.lengths import at_limits, at_quantiles, token_counts
 from cellweave.llm.packing import best_cuts, pack
-from cellweave.llm.tokens import tokenizer, vocabulary_path
+from cellweave.llm.tokens import WordTokenizer, tokenizer, vocabulary_path
 
 from .helpers import frame
 
@@ -22,9 +23,15 @@ def plain():
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
+def flat(t, texts):
+    ids, bounds = t.encode_flat(pa.array(texts, pa.string()))
+    return [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+
+
 def test_equals_whole_encoding(plain):
     for x in EXAMPLES:
         assert np.frombuffer(tokenizer().encode(x), "<u4").tolist() == plain(x), x
+    assert flat(WordTokenizer(vocabulary_path(), 3), EXAMPLES) == [plain(x) for x in EXAMPLES]
 
 
 @settings(max_examples=300, deadline=None)
@@ -32,6 +39,16 @@ def test_equals_whole_encoding(plain):
 def test_equals_whole_encoding_of_any_text(text):
     t = tokenizer()
     assert t.encode(text) == t._whole(text)
+    some = [text, text.upper(), text + "İx", "a" + text + "!"]
+    assert flat(t, some) == [np.frombuffer(t._whole(x), "<u4").tolist() for x in some]
+
+
+def test_equals_whole_encoding_of_table(plain):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    t = WordTokenizer(vocabulary_path(), 5000)
+    assert [x for k in range(0, len(texts), 50) for x in flat(t, texts[k : k + 50])] == [plain(x) for x in texts]
 
 
 def test_token_counts(spark, plain):
@@ -89,8 +106,6 @@ def test_packing(spark, plain, monkeypatch):
 
 
 def test_blocks_carry_over(plain, monkeypatch):
-    import pyarrow as pa
-
     monkeypatch.setattr(packing, "BLOCK_TOKENS", 20_000)
     rows = [(k, "One two three. Four five six seven!  eight " * (k % 90)) for k in range(2000)]  # one window that is not full is 0.5 %
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
