@@ -1,10 +1,592 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries and, where SQL can express them, the SQL that gives the same rows.
+
+The synthetic stack: cell = supplier, year = year of shipping, product A = mean quantity, product B = mean price.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave.functions import scalar
+from cellweave.operators import cluster, linalg, paint, stack, stats
+from cellweave.plans.store import Scratch, computed
+from cellweave.sources import rasters, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+YEARS = list(range(1995, 2002))
+
+#: Shared SQL.
+_STACKS = """a AS (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_quantity) AS value FROM lineitem GROUP BY ALL),
+b AS (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"""
+_HOLES = f"{_STACKS}, h AS (SELECT cell, year, CASE WHEN (cell + year) % 11 <> 0 THEN value END AS value FROM a)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def product(spark: SparkSession, d: str, column: str = "l_quantity", name: str = "A") -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    out = lines.groupBy(F.col("l_suppkey").alias("cell"), F.year("l_shipdate").alias("year")).agg(F.avg(column).alias("value"))
+    return out.select(F.lit(name).alias("product"), "year", "cell", "value")
+
+
+def product_b(spark: SparkSession, d: str) -> DataFrame:
+    return product(spark, d, "l_extendedprice", "B")
+
+
+def holes(spark: SparkSession, d: str) -> DataFrame:
+    """Product A without values where (cell + year) % 11 = 0."""
+    return product(spark, d).withColumn("value", F.when((F.col("cell") + F.col("year")) % 11 != 0, F.col("value")))
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").cast("double").alias("m"))
+
+
+def embeddings(spark: SparkSession, d: str, dims: int = 8) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("features"))
+
+
+def r4(name: str):
+    return F.round(name, 4).alias(name)
+
+
+# Sources and shapes
+
+
+@query(f"WITH {_STACKS} SELECT 'A' AS product, year, cell, round(value, 4) AS value FROM a UNION ALL SELECT 'B', year, cell, round(value, 4) FROM b")
+def stack_union(spark, d):
+    return stack.stacked(product(spark, d), product_b(spark, d)).select("product", "year", "cell", r4("value"))
+
+
+@query("SELECT vec_id AS cell, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
+def explode_cells(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("cell"), F.posexplode("embedding").alias("pos", "v")).select("cell", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, {', '.join(f'round(max(CASE WHEN year = {y} THEN value END), 4) AS y{y}' for y in YEARS)} FROM a GROUP BY cell")
+def wide_matrix(spark, d):
+    w = stack.wide(product(spark, d), YEARS)
+    return w.select("cell", *[F.round(str(y), 4).alias(f"y{y}") for y in YEARS])
+
+
+@query(f"WITH {_HOLES} SELECT cell, year, round(value, 4) AS value FROM h")
+def wide_and_back(spark, d):
+    return stack.long(stack.wide(holes(spark, d), YEARS), YEARS).select("cell", "year", r4("value"))
+
+
+@query(f"WITH {_HOLES} SELECT cell, {', '.join(f'round(coalesce(max(CASE WHEN year = {y} THEN value END), 0), 4) AS y{y}' for y in YEARS)} FROM h WHERE value IS NOT NULL GROUP BY cell")
+def feature_matrix(spark, d):
+    m = stack.matrix(holes(spark, d), YEARS)
+    return m.select("cell", *[F.round(F.element_at("features", k + 1), 4).alias(f"y{y}") for k, y in enumerate(YEARS)])
+
+
+@query(f"WITH {_HOLES} SELECT cell FROM h WHERE value IS NOT NULL GROUP BY cell HAVING count(*) >= 7")
+def complete_cells(spark, d):
+    return stack.complete_rows(stack.wide(holes(spark, d), YEARS), len(YEARS)).select("cell")
+
+
+@query(f"WITH {_STACKS} SELECT year AS i, cell AS j, round(value, 4) AS v FROM a")
+def matrix_transpose(spark, d):
+    m = product(spark, d).select(F.col("cell").alias("i"), F.col("year").alias("j"), F.col("value").alias("v"))
+    return linalg.transpose(m).select("i", "j", r4("v"))
+
+
+@query(f"""WITH {_STACKS}, x AS (SELECT cell AS i, CAST(year - 1995 AS INTEGER) AS j, value AS v FROM a), y AS (SELECT cell AS i, CAST(year - 1995 AS INTEGER) AS j, value AS v FROM b)
+SELECT i, j, round(v, 4) AS v FROM x UNION ALL SELECT i, j + 7, round(v, 4) FROM y""")
+def block_concatenation(spark, d):
+    parts = [p.select(F.col("cell").alias("i"), (F.col("year") - 1995).alias("j"), F.col("value").alias("v")) for p in (product(spark, d), product_b(spark, d))]
+    return linalg.beside(parts, 7).select("i", "j", r4("v"))
+
+
+@query("SELECT CAST(o_orderkey // 37 AS BIGINT) AS i, o_orderkey % 37 AS j, round(o_totalprice, 2) AS v FROM orders")
+def reshape_flat(spark, d):
+    flat = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("v"))
+    return linalg.reshaped(flat, 37).select("i", "j", F.round("v", 2).alias("v"))
+
+
+@query("SELECT p_partkey AS pos, o_totalprice AS value FROM (SELECT unnest(range(0, 3000)) AS p_partkey) LEFT JOIN (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 0) ON p_partkey = o_orderkey")
+def reindex_dense(spark, d):
+    some = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("value"))
+    return paint.dense(some, 3000)
+
+
+# Masks, filters, sentinels
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(CASE WHEN s_nationkey = 1 THEN value END, 4) AS value FROM a LEFT JOIN supplier ON cell = s_suppkey")
+def mask_values(spark, d):
+    return stack.mask_values(product(spark, d), suppliers(spark, d)).select("cell", "year", r4("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value, 4) AS value FROM a WHERE cell IN (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 0)")
+def mask_nonzero(spark, d):
+    return stack.keep_masked(product(spark, d), suppliers(spark, d), "nonzero").select("cell", "year", r4("value"))
+
+
+_RING = "[(1.0, 1.0), (8.5, 2.0), (9.0, 9.0), (4.0, 5.0), (1.5, 8.5)]"
+
+
+@query(f"""WITH e AS (SELECT unnest([1.0, 8.5, 9.0, 4.0, 1.5]) AS x0, unnest([1.0, 2.0, 9.0, 5.0, 8.5]) AS y0, unnest([8.5, 9.0, 4.0, 1.5, 1.0]) AS x1, unnest([2.0, 9.0, 5.0, 8.5, 1.0]) AS y1),
+g AS (SELECT s_suppkey AS cell, s_suppkey % 10 + 0.5 AS x, 10 - s_suppkey // 10 - 0.5 AS y FROM supplier)
+SELECT cell, CAST(count(*) FILTER ((y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0) % 2 AS DOUBLE) AS m FROM g, e GROUP BY cell""")
+def mask_polygon(spark, d):
+    grid = SimpleNamespace(cols=10, rows=10, xmin=0.0, ymin=0.0, xmax=10.0, ymax=10.0)
+    ring = '{"type": "Polygon", "coordinates": [[[1.0, 1.0], [8.5, 2.0], [9.0, 9.0], [4.0, 5.0], [1.5, 8.5], [1.0, 1.0]]]}'
+    return stack.mask_polygon(suppliers(spark, d), grid, scalar.polygon_rings(ring))
+
+
+@query("SELECT p_partkey, nullif(CAST(p_size AS DOUBLE), 7) AS value, coalesce(nullif(CAST(p_size AS DOUBLE), 7), -1) AS filled FROM part")
+def sentinels(spark, d):
+    v = scalar.missing(F.when(F.col("p_size") == 9, F.lit(9.0)).otherwise(F.col("p_size").cast("double")), 7)
+    return table(spark, d, "part").select("p_partkey", v.alias("value"), scalar.filled(v, -1).alias("filled"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size IN (1, 5, 9, 23, 42) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM part")
+def reclassify(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalar.member(F.col("p_size"), [1, 5, 9, 23, 42]).alias("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, CAST(year - 1996 AS INTEGER) AS year_idx, round(value, 4) AS value FROM a WHERE year BETWEEN 1996 AND 2000")
+def year_range(spark, d):
+    return stack.select_years(product(spark, d), 1996, 2000, rebase=True).select("cell", "year", "year_idx", r4("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, round(value, 4) AS v0 FROM a WHERE year = (SELECT min(year) FROM a)")
+def first_image(spark, d):
+    return stack.first_image(product(spark, d)).select("cell", r4("v0"))
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, s_suppkey AS cell FROM supplier WHERE s_nationkey <> 0")
+def valid_cells(spark, d):
+    grid = suppliers(spark, d).select("cell", F.lit(1.0).alias("v0"))
+    return stack.valid_cells(grid, suppliers(spark, d), "nonzero")
+
+
+@query(f"WITH {_HOLES} SELECT cell, year, round(value, 4) AS value FROM a WHERE cell NOT IN (SELECT cell FROM h WHERE year = 1995 AND value IS NULL)")
+def without_missing_cells(spark, d):
+    gone = holes(spark, d).where("year = 1995 and value is null")
+    return stack.without_cells(product(spark, d), gone).select("cell", "year", r4("value"))
+
+
+@query(f"WITH {_HOLES} SELECT cell, year, round(value, 4) AS value FROM h WHERE value IS NOT NULL")
+def drop_missing(spark, d):
+    return stack.drop_missing(holes(spark, d)).select("cell", "year", r4("value"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey NOT IN (0, 1)")
+def column_subset(spark, d):
+    return table(spark, d, "customer").where("c_nationkey not in (0, 1)").select("c_custkey", "c_acctbal")
+
+
+@query("SELECT vec_id AS cell, round(CAST(embedding[4] AS DOUBLE), 6) AS value FROM embeddings")
+def component_of_rows(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.round(F.element_at("embedding", 4).cast("double"), 6).alias("value"))
+
+
+@query("SELECT p_partkey AS pos, CASE WHEN p_partkey = 5 THEN 'list.txt' ELSE p_name END AS value FROM part")
+def settings_line(spark, d):
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("value"))
+    return text.replace_line(lines, "pos", 5, "list.txt")
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
+def set_difference(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key")).join(table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("key")), "key", "left_anti")
+
+
+@query("SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap FROM orders")
+def leap_years(spark, d):
+    y = table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return y.select("year", scalar.leap_year(F.col("year")).alias("leap"))
+
+
+@query("""SELECT CAST(CAST(year(l_shipdate) AS BIGINT) AS INTEGER) AS year, CAST(floor(floor(l_suppkey / 10) / 2) * 5 + floor((l_suppkey % 10) / 2) AS BIGINT) AS cell, round(avg(l_quantity), 4) AS value
+FROM lineitem GROUP BY ALL""")
+def resampled(spark, d):
+    lines = table(spark, d, "lineitem").select(F.lit("A").alias("product"), F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("cell"), F.col("l_quantity").alias("value"))
+    return stack.resample(lines, 10, 2).select("year", "cell", r4("value"))
+
+
+# Joins and painting
+
+
+@query(f"""WITH {_STACKS}, c AS (SELECT cell, corr(a.value, b.value) AS r, count(*) AS n FROM a JOIN b USING (cell, year) GROUP BY cell)
+SELECT s_suppkey AS cell, round(CASE WHEN NOT isnan(r) THEN r END, 6) AS corr, n FROM supplier LEFT JOIN c ON s_suppkey = cell""")
+def paint_correlation(spark, d):
+    c = stats.correlation(stack.pair(product(spark, d), product_b(spark, d)))
+    return paint.paint(suppliers(spark, d), c.withColumn("corr", F.round("corr", 6)), "corr", "n")
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(a.value, 4) AS a, round(b.value, 4) AS b FROM a JOIN b USING (cell, year)")
+def pair_products(spark, d):
+    return stack.pair(product(spark, d), product_b(spark, d)).select("cell", "year", r4("a"), r4("b"))
+
+
+_DAYS = """SELECT cell, year, m - 364 + cell % 9 AS value FROM (
+SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(max(dayofyear(l_shipdate)) AS DOUBLE) AS m FROM lineitem WHERE year(l_shipdate) > 1995 GROUP BY ALL)"""
+
+
+def days(spark: SparkSession, d: str) -> DataFrame:
+    """Days of year, some of them negative, from the second year on."""
+    lines = table(spark, d, "lineitem").where("year(l_shipdate) > 1995")
+    out = lines.groupBy(F.col("l_suppkey").alias("cell"), F.year("l_shipdate").alias("year")).agg(F.max(F.dayofyear("l_shipdate")).cast("double").alias("m"))
+    return out.select("cell", "year", (F.col("m") - 364 + F.col("cell") % 9).alias("value"))
+
+
+_WRAP = f"""WITH {_STACKS}, d AS ({_DAYS}), p AS (SELECT cell, d.year, value < 0 AS negative, d.year - CAST(value < 0 AS INTEGER) AS of,
+CASE WHEN value < 0 THEN (CASE WHEN d.year % 4 = 0 AND (d.year % 100 <> 0 OR d.year % 400 = 0) THEN 367 ELSE 366 END) - value ELSE value END AS b FROM d),
+w AS (SELECT p.cell, p.year, a.value AS a, b, negative FROM p JOIN a ON a.cell = p.cell AND a.year = p.of)"""
+
+
+@query(f"{_WRAP} SELECT cell, year, round(a, 4) AS a, b, negative FROM w")
+def day_wrap(spark, d):
+    return stats.day_wrapped_pairs(product(spark, d), days(spark, d)).select("cell", "year", r4("a"), "b", "negative")
+
+
+@query(f"{_WRAP} SELECT cell, round(CASE WHEN NOT isnan(corr(a, b)) THEN corr(a, b) END, 6) AS corr, count(b) AS n, count(*) FILTER (negative) AS neg_cnt FROM w GROUP BY cell")
+def day_correlation(spark, d):
+    c = stats.day_correlation(product(spark, d), days(spark, d))
+    return c.select("cell", F.round("corr", 6).alias("corr"), "n", "neg_cnt")
+
+
+@query("SELECT CAST(a.vec_id % 20 AS BIGINT) AS i, b.pos AS j, round(sum(a.v * b.v), 4) AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) a JOIN (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) b USING (vec_id) WHERE a.pos = 0 GROUP BY ALL")
+def matrix_product(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    left = e.where("pos = 0").select((F.col("vec_id") % 20).alias("i"), F.col("vec_id").alias("t"), "v")
+    right = e.select(F.col("vec_id").alias("t"), F.col("pos").cast("long").alias("j"), "v")
+    return linalg.matmul(left, right).select("i", "j", r4("v"))
+
+
+@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), f AS (SELECT * FROM e WHERE pos < 8) SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(sum(a.v * b.v), 4) AS v FROM f a JOIN f b USING (vec_id) GROUP BY ALL")
+def gram_matrix(spark, d):
+    e = embeddings(spark, d)
+    g = linalg.cross(e, e)
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 4)) for i in range(8) for j in range(8)], "i int, j int, v double")
+
+
+# Statistics
+
+
+@query(f"WITH {_STACKS} SELECT count(*) AS n FROM a")
+def row_count(spark, d):
+    return product(spark, d).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_HOLES} SELECT cell, count(value) AS n, round(avg(value), 4) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 4) AS stddev FROM h GROUP BY cell")
+def cell_summary(spark, d):
+    return stats.cell_summary(holes(spark, d)).select("cell", "n", r4("mean"), r4("variance"), r4("stddev"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value - avg(value) OVER (PARTITION BY cell), 4) + 0 AS value FROM a")
+def centred_by_cell(spark, d):
+    return stats.centred(product(spark, d), "cell").select("cell", "year", (F.round("value", 4) + 0).alias("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value - avg(value) OVER (PARTITION BY year), 4) + 0 AS value FROM a")
+def centred_by_year(spark, d):
+    return stats.centred(product(spark, d), "year").select("cell", "year", (F.round("value", 4) + 0).alias("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value / sqrt(sum(value * value) OVER (PARTITION BY cell)), 6) AS value FROM a")
+def normalised_rows(spark, d):
+    return stats.normalised(product(spark, d)).select("cell", "year", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_STACKS}, m AS (SELECT year, sqrt(sum((a.value - b.value) ** 2)) AS direct, sqrt(sum((a.value + b.value) ** 2)) AS mirrored FROM a JOIN b USING (cell, year) GROUP BY year)
+SELECT year, round(direct, 3) AS direct, round(mirrored, 3) AS mirrored, round(CASE WHEN direct > 1 THEN mirrored ELSE direct END, 3) AS distance FROM m""")
+def sign_free_distance(spark, d):
+    out = stats.distance(product(spark, d), product_b(spark, d), "cell", by="year")
+    return out.select("year", *[F.round(c, 3).alias(c) for c in ("direct", "mirrored", "distance")])
+
+
+_REVENUE = "WITH r AS (SELECT CAST(n_nationkey AS INTEGER) AS mode, round(sum(s_acctbal), 2) AS value FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1)"
+
+
+@query(f"""{_REVENUE}, t AS (SELECT mode, value, value * value / sum(value * value) OVER () AS share FROM r)
+SELECT mode, value, round(share, 8) AS share, round(sum(share) OVER (ORDER BY mode), 8) AS cumulative, round(sum(value) OVER (ORDER BY mode), 2) AS cumulative_value FROM t""")
+def variance_explained(spark, d):
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("mode")).agg(F.round(F.sum("s_acctbal"), 2).alias("value"))
+    v = stats.variance_explained(s)
+    return v.select("mode", "value", F.round("share", 8).alias("share"), F.round("cumulative", 8).alias("cumulative"), F.round("cumulative_value", 2).alias("cumulative_value"))
+
+
+@query("SELECT CAST(least(floor((l_quantity - 1) / 4.9), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1")
+def value_histogram(spark, d):
+    return stats.histogram(table(spark, d, "lineitem").withColumnRenamed("l_quantity", "value"), 10, 1.0, 50.0)
+
+
+@query(f"WITH {_HOLES} SELECT round(min(value), 4) AS low, round(max(value), 4) AS high FROM h")
+def value_limits(spark, d):
+    return stats.limits(holes(spark, d)).select(r4("low"), r4("high"))
+
+
+@query(f"WITH {_STACKS} SELECT year, count(DISTINCT cell) AS cells FROM a GROUP BY year")
+def cells_per_year(spark, d):
+    return product(spark, d).groupBy("year").agg(F.count_distinct("cell").alias("cells"))
+
+
+# Singular values
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return stack.matrix(product(spark, d), YEARS), stack.matrix(product_b(spark, d), YEARS)
+
+
+@query(f"""WITH {_STACKS}, ga AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM a x JOIN a y USING (cell) GROUP BY ALL),
+gb AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM b x JOIN b y USING (cell) GROUP BY ALL)
+SELECT round(sqrt(sum(ga.v * gb.v)) / 1e6, 3) AS frobenius FROM ga JOIN gb USING (i, j)""")
+def product_svd_norm(spark, d):
+    """Sum of squared singular values of A B^T = its squared Frobenius norm."""
+    m = linalg.product_svd(*_both(spark, d))
+    return spark.createDataFrame([(round(float(np.sqrt((m.s**2).sum())) / 1e6, 3),)], "frobenius double")
+
+
+@query(f"""WITH {_STACKS}, g AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM a x JOIN a y USING (cell) GROUP BY ALL)
+SELECT round(sum(v), 3) AS squares FROM g WHERE i = j""")
+def svd_norm(spark, d):
+    _, s, _ = linalg.svd(_both(spark, d)[0])
+    return spark.createDataFrame([(round(float((s**2).sum()), 3),)], "squares double")
+
+
+@query()
+def product_svd_modes(spark, d):
+    m = linalg.product_svd(*_both(spark, d)).truncated(3)
+    return linalg.Modes.by_mode(m.u).withColumnRenamed("value", "u").join(linalg.Modes.by_mode(m.v).withColumnRenamed("value", "v"), ["mode", "cell"]).join(m.values(), "mode")
+
+
+@query("SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS mode, TRUE AS small")
+def svd_residuals(spark, d):
+    a, b = _both(spark, d)
+    m = linalg.product_svd(a, b)
+    return spark.createDataFrame([(k, bool(x < 1e-6)) for k, x in enumerate(linalg.residuals(a, b, m))], "mode int, small boolean")
+
+
+@query()
+def maximum_covariance(spark, d):
+    return linalg.Modes.by_mode(linalg.mca(*_both(spark, d), r=3).u)
+
+
+@query()
+def canonical_correlation(spark, d):
+    return linalg.Modes.by_mode(linalg.cca(*_both(spark, d), p=4, q=4, r=3).u)
+
+
+@query()
+def generalised_correlation(spark, d):
+    a, b = _both(spark, d)
+    c = stack.matrix(product(spark, d, "l_discount", "C"), YEARS)
+    return linalg.Modes.by_mode(linalg.gcca(a, b, c, q=2)[1][0])
+
+
+@query()
+def low_rank_matrix(spark, d):
+    return linalg.low_rank(_both(spark, d)[0], 3)
+
+
+@query()
+def product_svd_by_svd(spark, d):
+    return linalg.product_svd_by_svd(*_both(spark, d), p=3, q=3).values()
+
+
+@query()
+def randomised_values(spark, d):
+    s = linalg.randomised_product(*_both(spark, d), 3)
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "mode int, value double")
+
+
+# Clustering
+
+_CENTRES = [[20.0] * 7, [25.0] * 7, [26.0] * 7, [30.0] * 7]
+_NEAREST = f"""WITH {_STACKS}, c AS (SELECT unnest([0, 1, 2, 3]) AS cluster, unnest([20.0, 25.0, 26.0, 30.0]) AS v),
+e AS (SELECT cell, cluster, sum((value - v) * (value - v)) AS d2 FROM a, c GROUP BY ALL),
+n AS (SELECT cell, cluster, d2 FROM e QUALIFY row_number() OVER (PARTITION BY cell ORDER BY round(d2, 8), cluster) = 1)"""
+
+
+@query(f"{_NEAREST} SELECT cell, CAST(cluster AS INTEGER) AS cluster, round(d2, 4) AS d2 FROM n")
+def nearest_centre(spark, d):
+    return cluster.nearest(stack.matrix(product(spark, d), YEARS), _CENTRES).select("cell", "cluster", r4("d2"))
+
+
+@query(f"{_NEAREST} SELECT round(sum(d2), 3) AS wssse FROM n")
+def clustering_cost(spark, d):
+    return cluster.cost(cluster.nearest(stack.matrix(product(spark, d), YEARS), _CENTRES)).select(F.round("wssse", 3).alias("wssse"))
+
+
+@query("SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS k, 20 AS iterations, TRUE AS falls")
+def kmeans_sweep(spark, d):
+    """The elbow table; costs fall with k on these data."""
+    t = cluster.sweep(stack.matrix(product(spark, d), YEARS), cluster.k_values(2, 4, 1), 20)
+    costs = [r.wssse for r in t.orderBy("k").collect()]
+    falls = [True, *(x > y for x, y in zip(costs, costs[1:], strict=False))]
+    return spark.createDataFrame([(k, 20, f) for k, f in zip((2, 3, 4), falls, strict=True)], "k int, iterations int, falls boolean")
+
+
+@query()
+def kmeans_painted(spark, d):
+    """Cells painted with the first coordinate of their cluster's centre; the model goes through its files."""
+    with Scratch(spark) as tmp:
+        m = stack.matrix(product(spark, d), YEARS)
+        path = tmp.path("models")
+        cluster.sweep(m, [3], 20, path)
+        out = cluster.predict(cluster.load(f"{path}/3"), m)
+        return tmp.keep(paint.paint(suppliers(spark, d), out, "cluster", "value"))
+
+
+@query()
+def kmeans_pairs(spark, d):
+    """Years and cells clustered by the values of both products."""
+    p = cluster.pair_features(stack.pair(product(spark, d), product_b(spark, d)))
+    model, _ = cluster.train(cluster.vectors(p), 3, 20)
+    return cluster.predict(model, p, "year", "cell")
+
+
+_BLOCKS = f"""WITH {_STACKS}, z AS (SELECT cell AS i, year AS j, value AS z FROM a), g AS (SELECT avg(z) AS g FROM z),
+m AS (SELECT i % 3 AS rc, j % 2 AS cc, (sum(z) + g * 1e-8) / (count(*) + 1e-8) AS m FROM z, g GROUP BY i % 3, j % 2, g)"""
+
+
+def _coclusters(spark: SparkSession, d: str):
+    z = product(spark, d).select(F.col("cell").alias("i"), F.col("year").cast("long").alias("j"), F.col("value").alias("z"), F.lit(1.0).alias("w"))
+    return z, cluster.CoClusters(3, 2, start="mod")
+
+
+@query(f"{_BLOCKS} SELECT CAST(rc AS INTEGER) AS rc, CAST(cc AS INTEGER) AS cc, round(m, 4) AS m FROM m")
+def block_means(spark, d):
+    z, model = _coclusters(spark, d)
+    rows, cols = model._first(z.select("i").distinct(), "i", 3, 0), model._first(z.select("j").distinct(), "j", 2, 0)
+    m = model.means(z, rows, cols, z.agg(F.avg("z")).first()[0])
+    return spark.createDataFrame([(a, b, round(m[a][b], 4)) for a in range(3) for b in range(2)], "rc int, cc int, m double")
+
+
+def _assigned(divergence: bool) -> str:
+    far = "sum((m + 1e-8) - z * ln(m + 1e-8))" if divergence else "sum((z - m) * (z - m))"
+    return f"{_BLOCKS}, e AS (SELECT i, rc, {far} AS d FROM z JOIN m ON j % 2 = cc GROUP BY ALL) SELECT i, CAST(rc AS INTEGER) AS c, round(d, 4) AS d FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, rc) = 1"
+
+
+def _row_step(spark: SparkSession, d: str, distance: str) -> DataFrame:
+    z, model = _coclusters(spark, d)
+    model = cluster.CoClusters(3, 2, distance, start="mod")
+    rows, cols = model._first(z.select("i").distinct(), "i", 3, 0), model._first(z.select("j").distinct(), "j", 2, 0)
+    return model.assign(z, "i", "j", cols, model.means(z, rows, cols, z.agg(F.avg("z")).first()[0])).select("i", "c", r4("d"))
+
+
+@query(_assigned(False))
+def cocluster_rows_euclidean(spark, d):
+    return _row_step(spark, d, "euclidean")
+
+
+@query(_assigned(True))
+def cocluster_rows_divergence(spark, d):
+    return _row_step(spark, d, "divergence")
+
+
+@query()
+def cocluster(spark, d):
+    z, model = _coclusters(spark, d)
+    rows, cols, _ = model.fit(z)
+    return rows.select(F.lit("row").alias("side"), F.col("i").alias("id"), "c").unionByName(cols.select(F.lit("col").alias("side"), F.col("j").alias("id"), "c"))
+
+
+# Sinks and round trips
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value, 4) AS value FROM a")
+def parquet_round_trip(spark, d):
+    with Scratch(spark) as tmp:
+        return tmp.keep(product(spark, d)).select("cell", "year", r4("value"))
+
+
+@query(f"WITH {_STACKS} SELECT cell, round(value, 4) AS value FROM a WHERE year = 1996")
+def kept_by_parameters(spark, d):
+    with Scratch(spark) as tmp:
+        make = lambda: stack.select_years(product(spark, d), 1996, 1996)
+        for _ in range(2):
+            out = computed(spark, tmp.top, "stack", {"path": d, "years": [1996, 1996]}, make)
+        return out.select("cell", r4("value"))
+
+
+@query("SELECT round(sum(CAST(x AS DOUBLE)), 3) AS total, count(*) AS n FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+def csv_matrix_round_trip(spark, d):
+    with Scratch(spark) as tmp:
+        path = tmp.path("rows")
+        text.write_rows(embeddings(spark, d, 64), path, "features", "cell")
+        rows = text.read_lines(spark, path).select(F.explode(text.parse_numbers(F.col("value"))).alias("x"))
+        return tmp.keep(rows.agg(F.round(F.sum("x"), 3).alias("total"), F.count("x").alias("n")))
+
+
+@query("SELECT CAST(n_nationkey + 2 AS INTEGER) AS _c0, 75 AS _c1, n_nationkey * 1.5::DOUBLE + 0.25 AS _c2 FROM nation")
+def elbow_csv_round_trip(spark, d):
+    with Scratch(spark) as tmp:
+        t = table(spark, d, "nation").select((F.col("n_nationkey") + 2).cast("int").alias("k"), F.lit(75).alias("iterations"), (F.col("n_nationkey") * 1.5 + 0.25).alias("wssse"))
+        path = tmp.path("elbow")
+        text.write_elbow(t, path)
+        return tmp.keep(text.read_elbow(spark, path))
+
+
+@query("SELECT CAST(a.r_regionkey AS INTEGER) AS mode, CAST(b.r_regionkey AS INTEGER) AS j, CASE WHEN a.r_regionkey = b.r_regionkey THEN 10.0::DOUBLE - a.r_regionkey ELSE 0.0::DOUBLE END AS value FROM region a, region b")
+def diagonal_matrix(spark, d):
+    s = table(spark, d, "region").select(F.col("r_regionkey").alias("mode"), (F.lit(10.0) - F.col("r_regionkey")).alias("value"))
+    return text.diagonal(s).select("mode", F.posexplode("values").alias("j", "value"))
+
+
+@query("""WITH v AS (SELECT CAST(n_regionkey AS INTEGER) AS mode, n_nationkey AS cell, n_nationkey * 0.5 AS value FROM nation)
+SELECT mode, 0 AS line_no, string_agg(printf('%.1f', value), ',' ORDER BY cell) AS line FROM v GROUP BY mode
+UNION ALL SELECT CAST(r_regionkey AS INTEGER), 1, printf('%.1f', r_regionkey::DOUBLE) FROM region
+UNION ALL SELECT mode, 2, string_agg(printf('%.1f', value), ',' ORDER BY cell) FROM v GROUP BY mode""")
+def mode_text(spark, d):
+    v = table(spark, d, "nation").select(F.col("n_regionkey").alias("mode"), F.col("n_nationkey").alias("cell"), (F.col("n_nationkey") * 0.5).alias("value"))
+    s = table(spark, d, "region").select(F.col("r_regionkey").alias("mode"), F.col("r_regionkey").cast("double").alias("value"))
+    return text.mode_lines(v, s, v)
+
+
+def _written(spark: SparkSession, d: str, tmp: Scratch) -> str:
+    """Product A as one raster of 10 x 10 cells a year."""
+    top = tmp.path("rasters")
+    grid = SimpleNamespace(cols=10, rows=10, xmin=-10.0, ymin=40.0, xmax=0.0, ymax=50.0, epsg=4326)
+    small = product(spark, d).where("cell < 100")
+    paint.write_each(small, grid, "year", top)
+    return top
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value, 4) AS value FROM a WHERE cell < 100 AND year BETWEEN 1996 AND 1999")
+def raster_round_trip(spark, d):
+    with Scratch(spark) as tmp:
+        s = stack.read_stack(spark, _written(spark, d, tmp), "A", years=(1996, 1999))
+        return tmp.keep(stack.drop_missing(s).select("cell", "year", r4("value")))
+
+
+@query(f"WITH {_STACKS} SELECT CAST(row_number() OVER (ORDER BY year) - 1 AS INTEGER) AS year_idx, year FROM (SELECT DISTINCT year FROM a)")
+def raster_listing(spark, d):
+    with Scratch(spark) as tmp:
+        return tmp.keep(rasters.list_files(spark, _written(spark, d, tmp)).select("year_idx", "year"))
+
+
+@query("SELECT 10 AS cols, 10 AS rows, -10.0::DOUBLE AS xmin, 50.0::DOUBLE AS ymax, 4326 AS epsg, 'float64' AS cell_type")
+def raster_profile(spark, d):
+    with Scratch(spark) as tmp:
+        r = rasters.read_rasters(spark, _written(spark, d, tmp))
+        return tmp.keep(rasters.grid_of(r).select("cols", "rows", "xmin", "ymax", "epsg", "cell_type"))
+
+
+@query("SELECT upper(n_name) AS value FROM nation")
+def external_program(spark, d):
+    return text.through_program(table(spark, d, "nation").select(F.col("n_name").alias("value")), "tr a-z A-Z")
