@@ -10,7 +10,7 @@ from fnmatch import fnmatch
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from cellweave.sources.tiff import Raster, decode, encode
 
@@ -111,15 +111,6 @@ class _Reader(DataSourceReader):
         self.options, self.band = options, options.get("band")
         self.years = [int(x) for x in options.get("years", "").split("-")] if options.get("years") else None
 
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("band",):
-                self.band = f.value
-            elif isinstance(f, EqualTo) and f.attribute == ("year",):
-                self.years = [f.value, f.value]
-            else:
-                yield f
-
     def partitions(self) -> list[_File]:
         top = self.options["path"]
         names = sorted(n for n in os.listdir(top) if fnmatch(n, self.options.get("glob", "*.tif"))) if os.path.isdir(top) else [""]
@@ -153,7 +144,10 @@ class _Writer(DataSourceWriter):
 
 
 class GeoTiffSource(DataSource):
-    """spark.read.format("geotiff"): one partition a file; band and year are pushed into the listing."""
+    """spark.read.format("geotiff"): one partition a file; the options band, years (`1989-2014`) and glob choose what is decoded.
+
+    Filters are not pushed: a frame keeps its reader, so what one query pushed would hold for the next.
+    """
 
     @classmethod
     def name(cls) -> str:
