@@ -10,7 +10,7 @@ documents only, from all of them:
   (s + 0.5) / (same), s being how many of the class's words were seen once.  So the model is a proper one over
   all words, while its parameters are of a fixed size.
 * *Baum-Welch.*  Starting from a model fitted to a bounded sample, each iteration runs the scaled forward-backward recursion over all
-  training documents; expected counts are summed within each task and across partitions in blocks of symbols, and only the
+  training documents; expected counts are summed within each task and then, in blocks of symbols, across partitions in two steps; only the
   model, of fixed size, reaches the driver.
 * *Scores.*  The scaled forward recursion gives the exact likelihood of each whole text's symbols, to which the within-class
   probabilities of its words are added.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ SYMBOLS = OWN + CLASSES + 1
 #: Share of each state's emissions that follows the base, so that no symbol is impossible.
 SMOOTH = 0.01
 #: Tokens that one recursion handles, entries that a task's counts hold, symbols in a block of counts.
-BATCH_TOKENS, HELD_WORDS, BLOCK = 1_000_000, 400_000, 2048
+BATCH_TOKENS, HELD_WORDS, BLOCK = 1_000_000, 400_000, 512
+#: Tasks whose counts are added up in the first of two steps.
+FAN_IN = 64
 LOG10 = float(np.log(10))
 
 
@@ -242,16 +245,20 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         s, m, e, f = Recursion(model, [r[-1] for r in pool]).expected()
         start, move, emit, fit = start + s, move + m, emit + e, fit + f
     blobs = [np.r_[fit, start, move.ravel()].tobytes(), *(emit[k : k + BLOCK].tobytes() for k in range(0, SYMBOLS, BLOCK))]
-    yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blobs) - 1), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "counts"])
+    team = (TaskContext.get().partitionId() if TaskContext.get() else 0) // FAN_IN
+    yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blobs) - 1), pa.int32()), pa.array([team] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "team", "counts"])
+
+
+_COUNTS = "block int, team int, counts binary"
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for block, team, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             x = np.frombuffer(blob.as_py())
-            total[block] = total[block] + x if block in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+            total[block, team] = total[block, team] + x if (block, team) in total else x
+    yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "team", "counts"])
 
 
 def first_model(texts: list[np.ndarray], base: np.ndarray, states: int = STATES, iterations: int = SAMPLE_ITERATIONS) -> Model:
@@ -288,7 +295,12 @@ class MarkovScorer:
         words = tmp.table(words, "words")
         per_class = words.groupBy("class", (F.col("c") == 1).alias("once")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas()
         docs = train.count()
-        top = words.orderBy(F.desc("c"), "wh").limit(KNOWN).select("wh", "class", "c").toArrow()
+        # The least count that leaves at most KNOWN words, from a histogram of a few hundred rows; nothing is sorted.
+        octave = F.floor(F.log2("c") * 8).alias("octave")
+        sizes = sorted(((r[0], r[1]) for r in words.groupBy(octave).count().collect()), reverse=True)
+        reach = np.cumsum([n for _, n in sizes])
+        low = [o for (o, _), x in zip(sizes, reach, strict=True) if x <= KNOWN]
+        top = words.where(octave >= (low[-1] if low else 1 << 30)).select("wh", "class", "c").toArrow().sort_by([("c", "descending"), ("wh", "ascending")])
         h, classes, c = (top.column(k).to_numpy() for k in range(3))
         n, v = per_class.groupby("class")["n"].sum(), per_class.groupby("class")["v"].sum()
         mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -329,12 +341,15 @@ class MarkovScorer:
             own = lexicon.symbols >= 0
             base[lexicon.symbols[own]], base[OWN:END], base[END] = lexicon.counts[own] + 0.5, lexicon.mass, lexicon.docs + 0.5
             base /= base.sum()
-            sample = encoded.where("not held_out").orderBy(F.xxhash64("doc_id"), "row").limit(SAMPLE_DOCS).select("symbols").toArrow().column(0)
-            model = first_model([np.frombuffer(x.as_py(), np.uint16)[:2000] for x in sample], base, self.states)
+            share = max(1, lexicon.docs // (2 * SAMPLE_DOCS))
+            sample = encoded.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id", "row", F.expr("substring(symbols, 1, 4000)").alias("symbols"))
+            sample = sample.orderBy(F.xxhash64("doc_id"), "row").limit(SAMPLE_DOCS).select("symbols").toArrow().column(0)
+            model = first_model([np.frombuffer(x.as_py(), np.uint16) for x in sample], base, self.states)
             for _ in range(self.iterations):
                 held = sc.broadcast(model)
-                parts = train.mapInArrow(lambda b, held=held: _expect(b, held.value), "block int, counts binary")
-                summed = parts.repartition(-(-SYMBOLS // BLOCK) + 1, "block").mapInArrow(_add_up, "block int, counts binary").collect()
+                parts = train.mapInArrow(lambda b, held=held: _expect(b, held.value), _COUNTS)
+                some = parts.repartition("block", "team").mapInArrow(_add_up, _COUNTS).withColumn("team", F.lit(0))
+                summed = some.repartition(-(-SYMBOLS // BLOCK) + 1, "block").mapInArrow(_add_up, _COUNTS).collect()
                 got = {r.block: np.frombuffer(r.counts) for r in summed}
                 s = self.states
                 if got:
