@@ -34,6 +34,11 @@ def member(value: Column, classes: list) -> Column:
     return F.when(value.isNull(), F.lit(None)).otherwise(value.isin(*classes).cast("double"))
 
 
+def flat_index(row: Column, col: Column, cols: int) -> Column:
+    """Row-major position of a cell."""
+    return row * cols + col
+
+
 def in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
     """Even-odd rule over the edges of all rings (holes included)."""
     edges = []

@@ -164,6 +164,16 @@ def centre_columns(a: DataFrame) -> DataFrame:
     return a.select("cell", F.zip_with("features", means, lambda x, m: x - m).alias("features"))
 
 
+def prepared(a: DataFrame, mode: int) -> DataFrame:
+    """What enters a product: 0 the values, 1 each row less its mean over the years.  2, standardised rows, has no agreed formula and is refused."""
+    if mode == 0:
+        return a
+    if mode == 1:
+        mean = F.aggregate("features", F.lit(0.0), lambda t, x: t + x) / F.size("features")
+        return a.select("cell", F.transform("features", lambda x: x - mean).alias("features"))
+    raise ValueError(f"matrix mode {mode} is not defined; 0 and 1 are")
+
+
 def normalise_rows(a: DataFrame) -> DataFrame:
     """Each row over its Euclidean length; rows of zeros stay."""
     length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x))

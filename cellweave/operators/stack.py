@@ -87,13 +87,13 @@ def matrix(stack: DataFrame, years: list[int], key: str = "cell", strict: bool =
     """(cell, features): one array entry for each year.
 
     A missing year counts as 0 and a cell without any value has no row; strict keeps only cells that have all years.
-    One shuffle: values are gathered by cell, with map-side combine into a map of at most as many entries as years.
+    One hash aggregation with map-side combine, a column for each of the few years; of repeated rows the greatest value counts.
     """
     have = drop_missing(stack).where(F.col("year").isin(*years))
-    got = have.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("by_year"))
+    got = have.groupBy(key).agg(*[F.max(F.when(F.col("year") == y, F.col("value"))).alias(f"__{y}") for y in years])
     if strict:
-        got = got.where(F.size("by_year") == len(years))
-    return got.select(key, F.array(*[F.coalesce(F.try_element_at("by_year", F.lit(y)), F.lit(0.0)) for y in years]).alias("features"))
+        got = got.na.drop(how="any")
+    return got.select(key, F.array(*[F.coalesce(f"__{y}", F.lit(0.0)) for y in years]).alias("features"))
 
 
 def wide(stack: DataFrame, years: list[int]) -> DataFrame:

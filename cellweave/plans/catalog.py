@@ -368,6 +368,15 @@ def svd_norm(spark, d):
     return spark.createDataFrame([(round(float((s**2).sum()), 3),)], "squares double")
 
 
+@query(f"""WITH {_STACKS}, ca AS (SELECT cell, year, value - avg(value) OVER (PARTITION BY cell) AS value FROM a), cb AS (SELECT cell, year, value - avg(value) OVER (PARTITION BY cell) AS value FROM b),
+ga AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM ca x JOIN ca y USING (cell) GROUP BY ALL),
+gb AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM cb x JOIN cb y USING (cell) GROUP BY ALL)
+SELECT round(sqrt(sum(ga.v * gb.v)) / 1e4, 3) AS frobenius FROM ga JOIN gb USING (i, j)""")
+def centred_product_norm(spark, d):
+    m = linalg.product_svd(*(linalg.prepared(x, 1) for x in _both(spark, d)))
+    return spark.createDataFrame([(round(float(np.sqrt((m.s**2).sum())) / 1e4, 3),)], "frobenius double")
+
+
 @query()
 def product_svd_modes(spark, d):
     m = linalg.product_svd(*_both(spark, d)).truncated(3)
@@ -587,6 +596,27 @@ def raster_profile(spark, d):
         return tmp.keep(rasters.grid_of(r).select("cols", "rows", "xmin", "ymax", "epsg", "cell_type"))
 
 
+@query("SELECT 10 AS cols, 10 AS rows, -10.0::DOUBLE AS xmin, 40.0::DOUBLE AS ymin, 0.0::DOUBLE AS xmax, 50.0::DOUBLE AS ymax, 4326 AS epsg, 'float64' AS cell_type")
+def grid_metadata_round_trip(spark, d):
+    with Scratch(spark) as tmp:
+        path = tmp.path("grid")
+        rasters.save_grid(rasters.grid_of(rasters.read_rasters(spark, _written(spark, d, tmp))), path)
+        return tmp.keep(rasters.load_grid(spark, path))
+
+
+@query("SELECT '1997.tif' AS name, 1 AS files")
+def raster_lookup(spark, d):
+    with Scratch(spark) as tmp:
+        found = rasters.lookup(spark, _written(spark, d, tmp), "1997.tif")
+        return tmp.keep(found.groupBy(F.regexp_extract("path", "[^/]*$", 0).alias("name")).agg(F.count("*").cast("int").alias("files")))
+
+
+@query("SELECT p_partkey, CAST((p_partkey // 10) * 10 + p_partkey % 10 AS BIGINT) AS cell FROM part")
+def flat_positions(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", scalar.flat_index(F.floor(F.col("p_partkey") / 10), F.col("p_partkey") % 10, 10).alias("cell"))
+
+
 @query("SELECT upper(n_name) AS value FROM nation")
 def external_program(spark, d):
     return text.through_program(table(spark, d, "nation").select(F.col("n_name").alias("value")), "tr a-z A-Z")

@@ -69,6 +69,20 @@ def grid_of(rasters: DataFrame) -> DataFrame:
     return rasters.orderBy("path", "band").limit(1).select("cols", "rows", "xmin", "ymin", "xmax", "ymax", "epsg", "cell_type")
 
 
+def save_grid(grid: DataFrame, path: str) -> None:
+    """Metadata of a grid as a table of one row, by name, beside what was computed on it."""
+    grid.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_grid(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("cols int, rows int, xmin double, ymin double, xmax double, ymax double, epsg int, cell_type string").json(path)
+
+
+def lookup(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One file (path, content), by name; others are not opened."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", name).load(path).select("path", "content")
+
+
 def write_raster(cells: DataFrame, grid, path: str, value: str = "value", deflate: bool = True) -> None:
     """Write (cell, value) as one single-band raster of doubles; null and cells that have no row become NaN.
 

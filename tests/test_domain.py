@@ -197,6 +197,13 @@ def test_low_rank_mca_cca_gcca(spark):
     assert len(linalg.gcca(x, y, x, q=2)[1]) == 3
 
 
+def test_matrix_modes(spark):
+    x = np.random.default_rng(3).normal(size=(6, 4))
+    assert np.allclose(back(linalg.prepared(as_matrix(spark, x), 1)), x - x.mean(axis=1, keepdims=True))
+    with pytest.raises(ValueError):
+        linalg.prepared(as_matrix(spark, x), 2)
+
+
 def test_given_truncation():
     u, s, vt = np.eye(4, 3), np.array([3.0, 2.0, 1.0]), np.eye(3)
     got = linalg.svd_by_embedding(u @ np.diag(s) @ vt)
