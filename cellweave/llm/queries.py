@@ -13,6 +13,7 @@ from cellweave.llm.html import main_text
 from cellweave.llm.lengths import token_counts
 from cellweave.llm.media import media_digests
 from cellweave.llm.near import near_duplicates
+from cellweave.llm.oracles import ORACLES  # noqa: F401
 from cellweave.llm.packing import pack
 from cellweave.llm.substring import repeated_passages
 from cellweave.llm.urls import judge
@@ -78,17 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {
-    "op5_url_filters": r"""
-        WITH u AS (
-            SELECT page_id,
-                   translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
-            FROM pages),
-        r(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-        m AS (
-            SELECT page_id, host, path, rh || rp AS rule, v,
-                   row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rh) + length(rp) DESC NULLS LAST, length(rh) DESC NULLS LAST) AS k
-            FROM u LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
-}
