@@ -10,18 +10,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written: shuffle files go when it is done, and Python workers get small batches.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one of our own only where none is set."""
+    """The folder that all machines share: spark.checkpoint.dir of the session; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="cellweave-")
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
-    """Intermediate tables, removed at the end of the block but for those of keep(); they cut the lineage of iterations."""
+    """Intermediate tables in the shared folder.
+
+    A table cuts the lineage: an executor that is lost later costs a read, not the stages before.
+    Leaving the block removes every table but those made by keep().  Kept tables back the frames
+    that an operator returns, so they stay until the folder of the application is removed.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.mine = spark, []
@@ -37,21 +51,25 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.top}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
+        for k, v in _WHILE_WRITING.items():
+            conf.set(k, v)
+        try:
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        return self._write(df, self.path(name))
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         self.mine.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        return self._write(df, path)
 
 
 def computed(spark: SparkSession, top: str, name: str, parameters: dict, make: Callable[[], DataFrame], again: bool = False) -> DataFrame:
