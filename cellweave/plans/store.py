@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: While a table is written: shuffle files go when it is done, and Python workers get small batches.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: While a table is written: shuffle files go when it is done.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,14 +53,12 @@ class Scratch:
 
     def _write(self, df: DataFrame, path: str) -> DataFrame:
         conf = self.spark.conf
-        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
-        for k, v in _WHILE_WRITING.items():
-            conf.set(k, v)
+        before = conf.get(_CLEAN_UP, None)
+        conf.set(_CLEAN_UP, "true")
         try:
             df.write.parquet(path)
         finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
+            conf.unset(_CLEAN_UP) if before is None else conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
