@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.session import id_and_text
+from cellweave.llm.session import id_and_text, small_batches
 from cellweave.llm.words import slices, text_buffer, words_of
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, PRIOR, POWER = 6000, 48, 24, 0.05, 8
 THRESHOLD = 0.7
+#: Rows whose terms are held at once, some 40 kB each.
+ROWS = 512
 _CLASSES, _BINS, _SHARES = 16, 12, 4
 TERMS = _CLASSES**3 + _BINS * _SHARES
 _CLASS = np.full(256, 15, np.uint8)
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, rows=ROWS):
                 x = terms(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.flatnonzero(r).astype(np.uint16).tobytes() for r in x], pa.binary()), pa.array([r[r != 0].tobytes() for r in x], pa.binary())], names=["doc_id", "y", "at", "value"])
 
@@ -147,7 +149,7 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, size=1 << 20):
+            for part in slices(batch, size=1 << 20, rows=ROWS):
                 s = box.value.scores(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -156,11 +158,12 @@ def score(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str =
 
 def accepted(docs: DataFrame, voter: Voter, text_col: str = "text") -> DataFrame:
     """The documents whose score reaches the threshold, as they are."""
+    small_batches(docs.sparkSession)
     box, at = docs.sparkSession.sparkContext.broadcast(voter), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
+            for part in slices(batch, text_col, 1 << 20, ROWS):
                 yield part.filter(pa.array(box.value.scores(part.column(at)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

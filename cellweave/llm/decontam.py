@@ -33,7 +33,7 @@ from cellweave.llm.words import Words, doc_hashes, slices, text_buffer, valid_wi
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 #: Words of items in one round, and windows whose fingerprints are computed at once.
-ROUND_WORDS, CHUNK = 1_000_000, 2000
+ROUND_WORDS, CHUNK = 1_000_000, 500
 SCHEMA = "doc_id long, item_id long, start long, n_words long, similarity double"
 
 

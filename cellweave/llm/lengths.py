@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.session import Scratch
+from cellweave.llm.session import Scratch, small_batches
 from cellweave.llm.tokens import tokenizer
 from cellweave.llm.words import slices
 
@@ -32,6 +32,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.R
 
 def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length; null and empty texts have 0 tokens."""
+    small_batches(docs.sparkSession)
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b: _count(b, path), "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 

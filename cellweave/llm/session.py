@@ -1,63 +1,25 @@
-"""Shared folder, intermediate tables and small column helpers for the corpus operators."""
+"""Intermediate tables, connected components and small column helpers for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir of the session; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables in the shared folder.
-
-    A table cuts the lineage: an executor that is lost later costs a read, not the stages before.
-    Leaving the block removes every table but those made by keep().  Kept tables back the frames
-    that an operator returns, so they stay until the folder of the application is removed.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.mine = spark, []
+from cellweave.plans.store import Scratch, shared_dir
 
-    def __enter__(self) -> Scratch:
-        return self
+__all__ = ["Scratch", "components", "id_and_text", "list_array", "shared_dir", "small_batches"]
 
-    def __exit__(self, *_) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.mine:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+#: Texts are long, so a batch for Python holds fewer rows than Spark's default of 10,000; a setting below this is left alone.
+BATCH_ROWS = 1000
 
-    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
-        path = f"{shared_dir(self.spark)}/cellweave/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-        before = self.spark.conf.get(_CLEAN_UP, None)
-        self.spark.conf.set(_CLEAN_UP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
-        self._last = path
-        return self.spark.read.schema(df.schema).parquet(path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        out = self.keep(df, name)
-        self.mine.append(self._last)
-        return out
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session.  Large batches cost an executor memory outside its heap, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -69,6 +31,7 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns that an operator reads; others, whatever their names, are never touched."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.session import Scratch, id_and_text, list_array
@@ -42,7 +42,7 @@ WINDOW = 50
 BLOCK = 25
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Text that one shard's documents hold, and passage characters in one automaton (some 80 bytes each when compiled).
-SHARD_BYTES, AUTOMATON_CHARS = 2 << 20, 2 << 20
+SHARD_BYTES, AUTOMATON_CHARS = 1 << 20, 1 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -231,8 +231,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = id_and_text(docs, id_col, text_col)
     with Scratch(spark) as tmp:
         seen = tmp.table(source.mapInArrow(_profile, "doc_id long, n_words long, k1 long, k2 long, sha string, anchors array<long>"), "profile")
-        copies = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-        anchors = seen.where("size(anchors) > 0 and doc_id is not null").join(copies, ["k1", "k2"]).where("doc_id = rep").select("doc_id", F.explode("anchors").alias("anchor"))
+        key = ["doc_id", "k1", "k2"]
+        copies = tmp.table(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+        # Tables on both sides, so that the join can split a hot class.
+        later = tmp.table(seen.select(key).join(copies, ["k1", "k2"]).where("doc_id > rep").select(key).distinct(), "later")
+        anchors = seen.where("size(anchors) > 0 and doc_id is not null").join(later, key, "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
         shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
         recurring = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
         candidates = tmp.table(source.join(recurring, "doc_id"), "candidates")
@@ -249,8 +252,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = rows.repartition(max(1, min(shards, 20000)), "shard").sortWithinPartitions("shard", "kind")
         located = tmp.table(rows.mapInArrow(_locate, "doc_id long, n_words long, n_removed long, removed array<long>, kept_sha256 string"), "located")
 
-        whole = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= WINDOW)
-        rest = seen.join(copies, ["k1", "k2"]).join(located.select("doc_id").distinct(), "doc_id", "left_anti")
+        whole = F.col("later") & (F.col("n_words") >= WINDOW)
+        rest = seen.drop("anchors").join(later.withColumn("later", F.lit(True)), key, "left").join(located.select("doc_id").distinct(), "doc_id", "left_anti")
         rest = rest.select(
             "doc_id",
             "n_words",
@@ -261,25 +264,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return tmp.keep(located.unionByName(rest), "repeats")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], text_at: int, spans_at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        for k, spans in enumerate(batch.column(spans_at).to_pylist()):
-            if spans:
-                words, kept, at = WORD.findall(texts[k] or ""), [], 0
-                for i, j in zip(spans[::2], spans[1::2], strict=True):
-                    kept += words[at:i]
-                    at = j
-                texts[k] = " ".join(kept + words[at:])
-        cols = [c for i, c in enumerate(batch.columns) if i != spans_at]
-        cols[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-        yield pa.RecordBatch.from_arrays(cols, names=[n for i, n in enumerate(batch.schema.names) if i != spans_at])
+def _cut(text: Column, spans: Column) -> Column:
+    """The text's words outside the spans (starts and ends, flat), joined by one space."""
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    inside = lambda i: F.exists(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda k: (i >= spans[k]) & (i < spans[k + 1]))
+    return F.array_join(F.filter(words, lambda w, i: ~inside(i)), " ")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their repeated words cut out; those of which nothing is left go.  Other texts stay byte for byte."""
     found = repeated_passages(docs, id_col, text_col).where("n_removed > 0").dropDuplicates(["doc_id"])
     found = found.select(F.col("doc_id").alias("__cut_id"), F.when(F.col("n_removed") < F.col("n_words"), F.col("removed")).alias("__cut"))
-    left = docs.join(found, F.col(id_col) == F.col("__cut_id"), "left").where("__cut_id is null or __cut is not null").drop("__cut_id")
-    at = docs.columns.index(text_col), len(docs.columns)
-    return left.mapInArrow(lambda batches: _cut(batches, *at), docs.schema)
+    left = docs.join(found, F.col(id_col) == F.col("__cut_id"), "left").where("__cut_id is null or __cut is not null")
+    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("__cut")))
+    return left.withColumn(text_col, text).select(docs.columns)

@@ -14,7 +14,7 @@ from cellweave.llm.words import Words, text_buffer, words_of
 VOCABULARY = "word_bpe_49k.json"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stems that are encoded as one text, words that are remembered, and punctuation that is.
-GROUP, REMEMBERED, SMALL = 200, 1_500_000, 50_000
+GROUP, REMEMBERED, SMALL = 200, 1_000_000, 50_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

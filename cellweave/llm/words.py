@@ -23,8 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=U64)
 _BASE = 0x9E3779B97F4A7C15 | 1
-#: Bytes of text that one slice holds, unless a single document is longer.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one slice holds, unless a single document is longer, and rows.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,14 +98,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, first_byte, lengths, np.searchsorted(first_byte, offsets))
 
 
-def slices(table: pa.RecordBatch | pa.Table, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts hold about `size` bytes; a row is never cut."""
+def slices(table: pa.RecordBatch | pa.Table, column: str = "text", size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most `rows` rows whose texts hold about `size` bytes; a row is never cut."""
     for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = (np.cumsum(lengths) - lengths) // size
-        cuts = np.flatnonzero(np.diff(at)) + 1
+        cuts = np.union1d(np.flatnonzero(np.diff(at)) + 1, np.arange(rows, batch.num_rows, rows))
         for i, j in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(i, j - i)
 
