@@ -15,10 +15,12 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir of the session; one of our own only where none is set."""
+    """The folder that all machines share: spark.checkpoint.dir of the session; one of our own only where none is set, on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_before.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
