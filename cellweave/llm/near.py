@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = components(tmp, found.where("not whole").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
         counts = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
         counts = counts.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "links", F.coalesce("component", "root").alias("component"))
+        counts = tmp.table(counts, "counts")  # a table too, for the same reason
         out = classes.join(counts.withColumnRenamed("doc_id", "copy_id"), "copy_id", "left")
         out = out.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         alone = source.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
