@@ -32,7 +32,7 @@ from cellweave.llm.words import slices
 
 LENGTH = 4096
 END_ID = 2
-SENTENCE, HARD, SEQUENCE = 1, 16, 4
+SENTENCE, HARD, SEQUENCE = 1, 16, 32
 HARD_STEP = 64
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
