@@ -39,17 +39,17 @@ def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): a row (node, component) for each node, the least node naming it.
 
     Alternates the large-star and small-star steps, each a grouped minimum with map-side
-    combine and a join, until nothing changes; the number of rounds is about the logarithm of the
-    longest path.  No edge and no label is gathered on the driver, only a count and a checksum.
+    combine and a join, until the edges are stars apart from each other; the number of rounds is about the logarithm of the
+    longest path.  No edge and no label is gathered on the driver, only the number of nodes that still stand in the way.
     """
     star = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     star = tmp.table(star, "edges")
-    seen = None
     while True:
-        now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == seen or not now[0]:
+        # A node in the way has two smaller neighbours, or one and a larger one.
+        ends = star.selectExpr("u as node", "1 as smaller", "0 as larger").unionAll(star.selectExpr("v as node", "0 as smaller", "1 as larger"))
+        in_the_way = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger")).where("smaller > 1 or smaller = 1 and larger = 1")
+        if not in_the_way.count():
             break
-        seen = tuple(now)
         both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
