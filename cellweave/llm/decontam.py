@@ -7,8 +7,8 @@ among the items, w(s) = ln(1 + items / items that hold s):
 
 and a window of at least 0.8 is a hit.  An item of one to four words is one shingle, all of its words.
 
-1. *Windows.*  A window that shares no shingle with an item has similarity 0 with it, so windows are laid where a shingle of
-   the item starts, such that it falls on its place within the item.  All positions of all texts are looked at.
+1. *Windows.*  Every window as long as the item (or up to the text's end) counts.  One is left out only if the weights of its
+   shingles that the item holds too, each time they occur, are below 0.8 of the item's: its similarity is below 0.8 then.
 2. *Fingerprints.*  The 64-bit SimHash of each window and item over their weighted shingles.  Two fingerprints within Hamming
    radius 23 differ by at most two bits in one of eight 8-bit blocks; a table for each block gives, for each of its 256 values,
    the items within two bits, so the union over the blocks holds every item within the radius.  At similarity 0.8 the expected
@@ -32,8 +32,8 @@ from cellweave.llm.words import Words, doc_hashes, slices, text_buffer, valid_wi
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 23, 8
-#: Words of items in one round, and windows whose fingerprints are computed at once.
-ROUND_WORDS, CHUNK = 1_000_000, 500
+#: Words of items in one round, and positions whose votes are summed up at once.
+ROUND_WORDS, CHUNK = 1_000_000, 8192
 SCHEMA = "doc_id long, item_id long, start long, n_words long, similarity double"
 
 
@@ -46,17 +46,35 @@ def _shingles(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
 
 
 def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of weighted hashes, as eight bytes; runs must not be empty."""
-    out = np.zeros((len(starts), BLOCKS), np.uint8)
-    for low in range(0, len(starts), CHUNK):
-        n = counts[low : low + CHUNK]
-        at = np.repeat(starts[low : low + CHUNK] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bits = np.unpackbits(hashes[at].view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(np.where(bits, 1, -1) * weights[at, None], np.cumsum(n) - n, axis=0)
-        out[low : low + CHUNK] = np.packbits(votes > 0, axis=1)
+    """SimHash of each run of weighted hashes, as eight bytes, by prefix sums of votes; runs must not be empty.
+
+    Weights are taken in steps of 2**-20, so that sums are exact and equal runs have equal fingerprints.
+    """
+    out, votes = np.zeros((len(starts), BLOCKS), np.uint8), np.rint(weights * (1 << 20)).astype(np.int64)
+    if not len(starts):
+        return out
+    inside = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + counts, -1)
+    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    low = np.searchsorted(at, starts)
+    high, order = low + counts, np.argsort(low, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(low[order] // CHUNK)) + 1):
+        begin, x = low[part[0]], at[low[part[0]] : high[part].max()]
+        bits = np.unpackbits(hashes[x].view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.zeros((len(x) + 1, 8 * BLOCKS), np.int64)
+        np.cumsum(np.where(bits, votes[x, None], -votes[x, None]), axis=0, out=sums[1:])
+        for k in range(0, len(part), CHUNK):
+            some = part[k : k + CHUNK]
+            out[some] = np.packbits(sums[high[some] - begin] > sums[low[some] - begin], axis=1)
     return out
 
 
+def _ranges(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """low, low + 1 and so on, as many as counted, one range behind the other"""
+    return np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Items:
     """A round of benchmark items, ready to search."""
 
@@ -70,71 +88,93 @@ class Items:
             mine = np.flatnonzero(self.size == size)
             hashes, _ = _shingles(words, h, int(size))
             counts = n[mine] - size + 1
-            at = np.repeat(words.first[mine] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            item, offset = np.repeat(mine, counts), at - words.first[np.repeat(mine, counts)]
-            order = np.lexsort((offset, item, hashes[at]))
-            x, item, offset = hashes[at][order], item[order], offset[order]
-            known, starts = np.unique(x, return_index=True)
-            pairs = np.unique(np.stack([x, item.astype(np.uint64)], axis=1), axis=0)
-            df = np.bincount(np.searchsorted(known, pairs[:, 0]), minlength=len(known))
+            x, ends = hashes[_ranges(words.first[mine], counts)], np.cumsum(counts)
+            pairs = np.unique(np.stack([x, np.repeat(mine, counts).astype(np.uint64)], axis=1), axis=0)
+            item = pairs[:, 1].astype(np.int64)
+            known, starts, df = np.unique(pairs[:, 0], return_index=True, return_counts=True)
             weight = np.log1p(len(mine) / df)
             total = np.zeros(len(rows))
-            np.add.at(total, pairs[:, 1].astype(np.int64), weight[np.searchsorted(known, pairs[:, 0])])
-            w = weight[np.searchsorted(known, hashes[at])]
+            np.add.at(total, item, np.repeat(weight, df))
             prints = np.zeros((len(rows), BLOCKS), np.uint8)
-            prints[mine] = fingerprints(hashes[at], w, np.cumsum(counts) - counts, counts)
+            prints[mine] = fingerprints(x, weight[np.searchsorted(known, x)], ends - counts, counts)
             near = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
             tables = np.stack([np.packbits(near[:, prints[:, k]], axis=1) for k in range(BLOCKS)])
-            self.by_size[int(size)] = (known, np.r_[starts, len(x)], item, offset, weight, np.log1p(len(mine)), total, prints, tables, pairs)
+            runs = dict(zip(mine.tolist(), np.split(x, ends[:-1]), strict=True))
+            self.by_size[int(size)] = (known, np.r_[starts, len(item)], item, weight, np.log1p(len(mine)), total, prints, tables, runs)
 
     def search(self, words: Words) -> tuple[np.ndarray, ...]:
-        """document, item, start and similarity of every hit"""
+        """document, item, start and similarity of the best window of every document and item with a hit"""
         h, out = words.hashes(), []
-        doc_of = np.repeat(np.arange(len(words.counts)), words.counts)
-        for size, (known, starts, item, offset, weight, plain, total, prints, tables, pairs) in self.by_size.items():
+        doc_of, n_all = np.repeat(np.arange(len(words.counts)), words.counts), int(words.first[-1]) + 1
+        for size, (known, starts, item, weight, plain, total, prints, tables, runs) in self.by_size.items():
             hashes, ok = _shingles(words, h, size)
             place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = np.flatnonzero((known[place] == hashes) & ok)
+            shared = (known[place] == hashes) & ok
+            hit = np.flatnonzero(shared)
             if not len(hit):
                 continue
+            w = np.where(shared, weight[place], plain)
             n = starts[place[hit] + 1] - starts[place[hit]]
-            at = np.repeat(starts[place[hit]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            doc, it = np.repeat(doc_of[hit], n), item[at]
-            begin = np.maximum(np.repeat(hit, n) - offset[at], words.first[doc])
-            end = np.minimum(begin + self.words[it], words.first[doc + 1])
-            found = np.unique(np.stack([doc, it, begin, end], axis=1), axis=0)
-            windows, which = np.unique(found[:, [2, 3]], axis=0, return_inverse=True)
+            it, pos = item[_ranges(starts[place[hit]], n)], np.repeat(hit, n)
+            order = np.argsort(it, kind="stable")
+            it, pos = it[order], pos[order]
+            key, cum = it * n_all + pos, np.r_[0, np.cumsum(w[pos])]
+
+            def held(it: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray = key, cum: np.ndarray = cum) -> np.ndarray:
+                """Weight of the shared shingles that start at low to high, repeated ones each time: no less than that in common."""
+                return cum[np.searchsorted(key, it * n_all + high, "right")] - cum[np.searchsorted(key, it * n_all + low)]
+
+            def enough(it: np.ndarray, most: np.ndarray, total: np.ndarray = total) -> np.ndarray:
+                return most >= THRESHOLD * total[it] - 1e-6
+
+            # Every window around a shared shingle, but for those that cannot hold enough.
+            low = np.maximum(pos - (self.words[it] - size), words.first[doc_of[pos]])
+            high = np.minimum(pos + self.words[it], words.first[doc_of[pos] + 1]) - size
+            rich = enough(it, held(it, low, np.maximum(high, pos)))
+            it, low, pos = it[rich], low[rich], pos[rich]
+            if not len(it):
+                continue
+            first = np.maximum(it * n_all + low, np.r_[-1, (it * n_all + pos)[:-1]] + 1)
+            begin = _ranges(first, it * n_all + pos - first + 1)
+            it, begin = begin // n_all, begin % n_all
+            end = np.minimum(begin + self.words[it], words.first[doc_of[begin] + 1])
+            most = held(it, begin, end - size)
+            rich = enough(it, most)
+            it, begin, end, most = it[rich], begin[rich], end[rich], most[rich]
             # Fingerprints only of windows; a window may have many items.
-            w = np.where((known[place] == hashes) & ok, weight[place], plain)
-            counts = windows[:, 1] - windows[:, 0] - size + 1
-            mine = fingerprints(hashes, w, windows[:, 0], counts)[which]
-            candidate = np.zeros(len(found), bool)
+            windows, which = np.unique(begin * (n_all + 1) + end, return_inverse=True)
+            windows = np.stack([windows // (n_all + 1), windows % (n_all + 1)], axis=1)
+            mine = fingerprints(hashes, w, windows[:, 0], windows[:, 1] - windows[:, 0] - size + 1)[which]
+            candidate = np.zeros(len(it), bool)
             for k in range(BLOCKS):
-                candidate |= (tables[k, mine[:, k], found[:, 1] >> 3] >> (7 - (found[:, 1] & 7)).astype(np.uint8) & 1).astype(bool)
-            distance = np.unpackbits(mine ^ prints[found[:, 1]], axis=1).sum(axis=1)
-            for d, i, b, e in found[candidate & (distance <= RADIUS)].tolist():
-                own = np.unique(hashes[b : e - size + 1])
-                p = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                is_known = known[p] == own
-                held = np.zeros(len(own), bool)
-                q = np.searchsorted(pairs[:, 0], own)
-                for step in range(int(self._most(pairs))):
-                    r = np.minimum(q + step, len(pairs) - 1)
-                    held |= (pairs[r, 0] == own) & (pairs[r, 1] == i)
-                    if not ((pairs[r, 0] == own) & ~held).any():
-                        break
-                ws = np.where(is_known, weight[p], plain)
-                s = ws[held].sum() / max(ws.sum(), total[i])
+                candidate |= (tables[k, mine[:, k], it >> 3] >> (7 - (it & 7)).astype(np.uint8) & 1).astype(bool)
+            candidate &= np.unpackbits(mine ^ prints[it], axis=1).sum(axis=1) <= RADIUS
+            it, begin, end, most = it[candidate], begin[candidate], end[candidate], most[candidate]
+            # The most promising windows first; when none left can be as good as the best, a document and item are done.
+            order = np.lexsort((begin, -most, it, doc_of[begin]))
+            best: dict[tuple, tuple] = {}
+            for d, i, b, e, m in zip(*(c[order].tolist() for c in (doc_of[begin], it, begin, end, most)), strict=True):
+                so_far = best.get((d, i))
+                if so_far and (m + 1e-6) / total[i] < so_far[0]:
+                    continue
+                run = runs[i]
+                own, at = np.unique(hashes[b : e - size + 1], return_index=True)
+                s = w[b + at][np.isin(own, run)].sum() / max(w[b + at].sum(), total[i])
                 if s >= THRESHOLD - 1e-9:
-                    out.append((d, i, b, min(round(s, 9), 1.0)))
+                    found = (min(round(s, 9), 1.0), self._in_place(hashes[b : e - size + 1], run, b == words.first[d]), -b)
+                    best[d, i] = max(found, so_far or found)
+            out += [(d, i, -b, s) for (d, i), (s, _, b) in best.items()]
         if not out:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
         d, i, b, s = (np.array(c) for c in zip(*out, strict=True))
         return d, i, b - words.first[d], s
 
     @staticmethod
-    def _most(pairs: np.ndarray) -> int:
-        return int(np.unique(pairs[:, 0], return_counts=True)[1].max())
+    def _in_place(window: np.ndarray, run: np.ndarray, at_start: bool) -> bool:
+        """Whether a shared shingle lies on its own place within the item, or further on in an item cut off by the text's start."""
+        if (window == run[: len(window)]).any():
+            return True
+        return at_start and any((window[: len(run) - k] == run[k : k + len(window)]).any() for k in range(1, len(run)))
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
@@ -153,7 +193,8 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Reco
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item with a hit, at its best window: the first of those most similar.
+    """A row for each document and item with a hit, at its best window: of those most similar the first, those before
+    others in which a shared shingle lies on its own place within the item.
 
     Items without words and rows with null texts hit nothing; ids, null ones too, are passed on as they are.
     """

@@ -96,3 +96,44 @@ def test_edges(spark):
     rows = [(None, "x a b c d e f g"), (2, "x a b c d e f g"), (2, "x a b c d e f g"), (3, "x")]
     assert sorted(str(r.doc_id) for r in contaminated(frame(spark, rows), item).collect()) == ["2", "2", "None"]
     assert [r.doc_id for r in uncontaminated(frame(spark, rows), item).orderBy("doc_id").collect()] == [None, 3]
+
+
+def slide(rows, items):
+    """{(doc, item): best similarity} over all item-sized windows, wherever they start"""
+    items = [(i, words(t)) for i, t in items if words(t)]
+    out = {}
+    for size in {min(5, len(w)) for _, w in items}:
+        sets = {i: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for i, w in items if min(5, len(w)) == size}
+        df = defaultdict(int)
+        for s in sets.values():
+            for x in s:
+                df[x] += 1
+        weigh = lambda s: sum(math.log1p(len(sets) / df.get(x, 1)) for x in s)  # noqa: B023, E731
+        for d, t in rows:
+            w = words(t)
+            for i, iw in items:
+                for b in range(len(w) - size + 1) if i in sets else ():
+                    window = w[b : b + len(iw)]
+                    own = {tuple(window[k : k + size]) for k in range(len(window) - size + 1)}
+                    s = weigh(own & sets[i]) / max(weigh(own), weigh(sets[i]))
+                    if s >= 0.8 - 1e-9:
+                        out[d, i] = max(s, out.get((d, i), 0))
+    return out
+
+
+def test_shifted_passages(spark):
+    """Sentences of an item in another order, and planted ones: every window counts, not only those with a shingle on its place."""
+    rng = random.Random(6)
+    rows, items = planted(3)
+    a, b = ([f"{x}{k}" for k in range(30)] for x in "ab")
+    items = [*items, (50, " ".join(a + b))]
+    rows = [*rows, (200, " ".join(["x"] * 9 + b + a + ["y"] * 9)), (201, " ".join(b + a)), (202, " ".join(a[:20] + ["x"] * 20 + b))]
+    for d in range(40):
+        w = (items[rng.randrange(25)][1]).split()
+        cut = rng.randrange(1, len(w))
+        rows.append((300 + d, " ".join(["z"] * rng.randint(0, 5) + w[cut:] + w[:cut] + ["z"] * rng.randint(0, 5))))
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = slide(rows, items)
+    assert (200, 50) in want and (201, 50) in want and (202, 50) not in want
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - s) < 1e-8 for k, s in want.items())
