@@ -15,7 +15,8 @@ and a window of at least 0.8 is a hit.  An item of one to four words is one shin
    distance is 13 bits with a deviation of 3.2.
 3. *Proof.*  Candidates within the radius have their similarity computed exactly.
 
-Items are taken in rounds of bounded size, each broadcast to one pass over the documents; documents are never shuffled.
+Items are taken in rounds of bounded size, each broadcast to one pass over the documents; documents are never shuffled.  Weights are
+those of the whole benchmark in every round, so results do not depend on the rounds.
 """
 
 from __future__ import annotations
@@ -75,15 +76,59 @@ def _ranges(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
+#: By shingle size: weight of a shingle that at most one item holds, hashes of the others, sorted, and their weights.
+Weights = dict[int, tuple[float, np.ndarray, np.ndarray]]
+
+
+def _weigh(hashes: np.ndarray, plain: float, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weight of each shingle."""
+    if not len(known):
+        return np.full(len(hashes), plain)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[place] == hashes, weight[place], plain)
+
+
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of items -> (size, hash) of their distinct shingles, and a null hash for each item with words"""
+    for batch in batches:
+        words = words_of(*text_buffer(batch.column(0)))
+        h, sizes = words.hashes(), np.minimum(words.counts, SHINGLE)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            mine = np.flatnonzero(sizes == size)
+            counts = words.counts[mine] - size + 1
+            x = _shingles(words, h, size)[0][_ranges(words.first[mine], counts)]
+            own = np.unique(np.stack([x, np.repeat(mine, counts).astype(np.uint64)], axis=1), axis=0)[:, 0].view(np.int64) if len(x) else np.zeros(0, np.int64)
+            hashes = pa.concat_arrays([pa.nulls(len(mine), pa.int64()), pa.array(own, pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), size), pa.int32()), hashes], names=["size", "hash"])
+
+
+def _weights(texts: DataFrame) -> Weights:
+    """Weights over all items.  Only shingles that two items hold at least reach the driver."""
+    n = texts.mapInArrow(_item_shingles, "size int, hash long").groupBy("size", "hash").agg(F.count("*").alias("df"))
+    table = n.where("df > 1 or hash is null").toArrow()
+    size, df = (table.column(c).to_numpy() for c in ("size", "df"))
+    item, hashes = table.column("hash").is_null().to_numpy(), table.column("hash").fill_null(0).to_numpy().view(np.uint64)
+    out = {}
+    for k in np.unique(size).tolist():
+        items, mine = df[(size == k) & item].sum(), (size == k) & ~item
+        order = np.argsort(hashes[mine])
+        out[k] = (float(np.log1p(items)), hashes[mine][order], np.log1p(items / df[mine][order]))
+    return out
+
+
 class Items:
-    """A round of benchmark items, ready to search."""
+    """A round of benchmark items, ready to search.
+
+    `weights` has, by shingle size, the weight of a shingle that at most one item holds, and hashes (sorted) and weights of the others;
+    without it the round is the whole benchmark.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], weights: Weights | None = None):
         words = words_of(*text_buffer(pa.array([t for _, t in rows], pa.string())))
         h, n = words.hashes(), words.counts
         self.ids, self.words = np.array([i for i, _ in rows], np.int64), n
         self.size = np.minimum(n, SHINGLE)
-        self.by_size = {}
+        self.by_size, self.weights = {}, {} if weights is None else None
         for size in np.unique(self.size):
             mine = np.flatnonzero(self.size == size)
             hashes, _ = _shingles(words, h, int(size))
@@ -92,7 +137,9 @@ class Items:
             pairs = np.unique(np.stack([x, np.repeat(mine, counts).astype(np.uint64)], axis=1), axis=0)
             item = pairs[:, 1].astype(np.int64)
             known, starts, df = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-            weight = np.log1p(len(mine) / df)
+            if weights is None:
+                self.weights[int(size)] = (float(np.log1p(len(mine))), known[df > 1], np.log1p(len(mine) / df[df > 1]))
+            weight = _weigh(known, *(weights or self.weights)[int(size)])
             total = np.zeros(len(rows))
             np.add.at(total, item, np.repeat(weight, df))
             prints = np.zeros((len(rows), BLOCKS), np.uint8)
@@ -100,20 +147,20 @@ class Items:
             near = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
             tables = np.stack([np.packbits(near[:, prints[:, k]], axis=1) for k in range(BLOCKS)])
             runs = dict(zip(mine.tolist(), np.split(x, ends[:-1]), strict=True))
-            self.by_size[int(size)] = (known, np.r_[starts, len(item)], item, weight, np.log1p(len(mine)), total, prints, tables, runs)
+            self.by_size[int(size)] = (known, np.r_[starts, len(item)], item, total, prints, tables, runs)
 
-    def search(self, words: Words) -> tuple[np.ndarray, ...]:
+    def search(self, words: Words, weights: Weights | None = None) -> tuple[np.ndarray, ...]:
         """document, item, start and similarity of the best window of every document and item with a hit"""
         h, out = words.hashes(), []
         doc_of, n_all = np.repeat(np.arange(len(words.counts)), words.counts), int(words.first[-1]) + 1
-        for size, (known, starts, item, weight, plain, total, prints, tables, runs) in self.by_size.items():
+        for size, (known, starts, item, total, prints, tables, runs) in self.by_size.items():
             hashes, ok = _shingles(words, h, size)
             place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             shared = (known[place] == hashes) & ok
             hit = np.flatnonzero(shared)
             if not len(hit):
                 continue
-            w = np.where(shared, weight[place], plain)
+            w = _weigh(hashes, *(weights or self.weights)[size])
             n = starts[place[hit] + 1] - starts[place[hit]]
             it, pos = item[_ranges(starts[place[hit]], n)], np.repeat(hit, n)
             order = np.argsort(it, kind="stable")
@@ -177,11 +224,11 @@ class Items:
         return at_start and any((window[: len(run) - k] == run[k : k + len(window)]).any() for k in range(1, len(run)))
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], items: Items, weights: Weights | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             words = words_of(*text_buffer(part.column(1)))
-            d, i, b, s = items.search(words)
+            d, i, b, s = items.search(words, weights)
             order = np.lexsort((b, -s, i, d))
             d, i, b, s = d[order], i[order], b[order], s[order]
             new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1])] if len(d) else np.zeros(0, bool)
@@ -200,22 +247,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col)
-    out, held, size = [], [], 0
+    out, held, size, weights = [], [], 0, None
 
     def flush() -> None:
         nonlocal held, size
         if held:
-            box = spark.sparkContext.broadcast(Items(held))
-            out.append(source.mapInArrow(lambda batches: _search(batches, box.value), SCHEMA))
+            box = spark.sparkContext.broadcast(Items(held, weights and weights.value))
+            out.append(source.mapInArrow(lambda batches, weights=weights: _search(batches, box.value, weights and weights.value), SCHEMA))
         held, size = [], 0
 
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
         n = len((row[1] or "").encode().translate(None, b" \t\n\v\f\r")) and len(row[1].split()) + 1
         if n:
-            held.append((-1 if row[0] is None else row[0], row[1]))
-            size += n
             if size >= ROUND_WORDS:
+                # More than one round: weights are those of the whole benchmark in each.
+                weights = weights or spark.sparkContext.broadcast(_weights(benchmark.select(F.col(item_text).cast("string"))))
                 flush()
+            held.append((-1 if row[0] is None else row[0], row[1]))
+            size += n
     flush()
     if not out:
         return source.where("false").select("doc_id", *(F.lit(0).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")[1:])))

@@ -137,3 +137,15 @@ def test_shifted_passages(spark):
     assert (200, 50) in want and (201, 50) in want and (202, 50) not in want
     assert got.keys() == want.keys()
     assert all(abs(got[k] - s) < 1e-8 for k, s in want.items())
+
+
+def test_rounds_change_nothing(spark, monkeypatch):
+    rows, items = planted(4)
+    common = " ".join(f"c{k}" for k in range(9))
+    items = [(i, f"{t} {common}" if t and i < 20 else t) for i, t in items]
+    rows = [*rows, *((400 + i, f"x {t} y") for i, t in items[:25]), *((500 + i, f"x {t.rsplit(' ', 4)[0]} y z q") for i, t in items[:25])]
+    run = lambda some: sorted(map(tuple, contaminated(frame(spark, rows), spark.createDataFrame(some, "item_id long, text string")).collect()))
+    whole = run(items)
+    for words_, some in ((200, items), (200, items[::-1]), (700, items)):
+        monkeypatch.setattr(decontam, "ROUND_WORDS", words_)
+        assert run(some) == whole
