@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +9,7 @@ import pytest
 from cellweave.llm import classify
 from cellweave.llm.classify import Voter, accepted, fit, score, terms
 
-from .helpers import frame
+from .helpers import frame, words
 
 
 @pytest.fixture(scope="module")
@@ -37,18 +39,45 @@ def test_held_out_accuracy(spark, table):
     assert held[held.quality == 1].predicted.mean() > 0.98
 
 
-def test_cosines_are_exact():
-    texts = pa.array(["a b c d", "A!! B!! C!!", "x | y | z", None, "", "word word word word"] * 3)
-    v = Voter.fit(terms(texts), np.arange(18) % 2, 4)
-    v.vectors[:] = v.vectors
-    x = terms(texts) @ v.projection
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    want = []
-    for row in x:
-        c = np.array([float(np.dot(row, o)) for o in v.vectors])
-        w = np.clip(c, 0, 1) ** classify.POWER
-        want.append(((w * v.labels).sum() + classify.PRIOR * v.labels.mean()) / (w.sum() + classify.PRIOR))
-    assert np.allclose(v.scores(texts, block=4), want, atol=1e-5)
+def brute_score(v, text):
+    """All cosines one by one, sorted; the nearest vote."""
+    x = classify._weighted(terms(pa.array([text], pa.string())), v.rarity)[0] @ v.projection
+    x = x / max(float(np.linalg.norm(x)), 1e-12)
+    c = sorted(((float(np.dot(x, o)), float(y)) for o, y in zip(v.vectors, v.labels)), reverse=True)[: classify.NEIGHBOURS]
+    w = [max(a, 0) ** classify.POWER for a, _ in c]
+    return (sum(k * y for k, (_, y) in zip(w, c)) + classify.PRIOR * v.labels.mean()) / (sum(w) + classify.PRIOR)
+
+
+def test_nearest_vote_as_by_brute_force():
+    rng = random.Random(5)
+    make = lambda: " ".join(rng.choice(["ab", "cde", "FG!", "h|", "ijk", "x"]) + rng.choice("aeiou") for _ in range(rng.randint(1, 40)))
+    for n in (18, 150):  # fewer and more than NEIGHBOURS
+        texts = [make() for _ in range(n)] + [None, "", "word word word word", "x"]
+        v = Voter.fit(terms(pa.array(texts)), np.array([rng.randrange(2) for _ in texts]), 6)
+        assert np.allclose(v.scores(pa.array(texts), block=7), [brute_score(v, t) for t in texts], atol=2e-4)
+
+
+def test_terms_as_by_brute_force(monkeypatch):
+    texts = ["ab ab ab c ab", "é é x\nx x", "", None, "z", "ab", "one two three two two one " * 30]
+    got = terms(pa.array(texts))
+    for row, t in zip(got, texts):
+        raw, w = (t or "").encode(), words(t)
+        grams = Counter(raw[k : k + 3] for k in range(len(raw) - 2))
+        assert round(float((row[: classify.CHARS] ** 2).sum())) == sum(grams.values())
+        kinds = [2 if k and w[k - 1] == x else int(x in w[:k]) for k, x in enumerate(w)]
+        want = Counter(zip(kinds, [*(k + 1 for k in kinds[1:]), 0]))
+        pairs = row[classify.CHARS :].reshape(classify.KINDS, -1) ** 2
+        assert {(a, b): round(float(pairs[a, b])) for a in range(3) for b in range(4) if pairs[a, b]} == dict(want)
+    monkeypatch.setattr(classify, "STRETCH", 5)
+    assert (terms(pa.array(texts)) == got).all()
+    assert (np.concatenate([terms(pa.array([t], pa.string())) for t in texts]) == got).all()
+
+
+def test_rows_of_one_id(spark):
+    rows = [(4, "a b c"), (4, "d e f"), (8, "x y z"), (8, "x y z")]
+    labels = spark.createDataFrame([(4, 1), (8, 0), (8, 0), (8, 1)], "doc_id long, quality int")
+    one, two = (fit(frame(spark, r), labels) for r in (rows, rows[::-1]))
+    assert len(one.labels) == 3 and (one.vectors == two.vectors).all() and (one.labels == two.labels).all()
 
 
 def test_edges(spark):
