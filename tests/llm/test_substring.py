@@ -3,7 +3,7 @@ import random
 
 from cellweave.llm.substring import merge, repeated_passages, without_repeats
 
-from .helpers import brute_repeats, frame
+from .helpers import brute_repeats, frame, words
 
 
 def check(spark, rows):
@@ -46,5 +46,43 @@ def test_edges(spark):
     assert {(r.doc_id, r.text) for r in left.collect()} == {(None, text), (2, text), (4, None), (5, "more"), (6, "")}
 
 
+def brute_rows(rows, size=50):
+    """As brute_repeats, for rows that may share an id: [(id, kept words)], each row by its own text."""
+    first = {}
+    for i, t in rows:
+        for k in range(len(words(t)) - size + 1):
+            x = tuple(words(t)[k : k + size])
+            first[x] = min(first.get(x, i), i)
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - size + 1) if first[tuple(w[k : k + size])] < i for j in range(size)}
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark, monkeypatch):
+    run = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    a, b = run("a", 60), run("b", 70)
+    rows = [(1, a), (2, f"{a} more"), (2, b), (2, f"x {a}"), (3, b), (3, f"{b} {a}"), (3, f"{b}\n{a}"), (4, f"{run('c', 55)} {b}"), (5, run("c", 80)), (5, "few words")]
+    for piece in (256, 3):
+        monkeypatch.setattr("cellweave.llm.substring.PIECE", piece)
+        for some in (rows, rows[::-1]):
+            want = brute_rows(some)
+            got = repeated_passages(frame(spark, some)).collect()
+            assert sorted((r.doc_id, r.kept_sha256) for r in got) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
+            left = without_repeats(frame(spark, some)).collect()
+            assert sorted((r.doc_id, " ".join(words(r.text))) for r in left) == sorted(x for x in want if x[1])
+
+
+def test_long_passages_go_in_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    w = [f"w{rng.randint(0, 9)}-{k}" for k in range(700)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[100:640] + ["x"] + w[20:75])), (3, " ".join(["y"] + w[:300] + w[280:500])), (4, " ".join(w[::-1])), (5, " ".join(w[300:] + w[:300]))]
+    for piece in (256, 50, 7):
+        monkeypatch.setattr("cellweave.llm.substring.PIECE", piece)
+        check(spark, rows)
+
+
 def test_merge():
     assert merge([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
