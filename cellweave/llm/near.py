@@ -19,7 +19,8 @@ least 0.8.  A text of one to four words has one shingle, all of its words; a tex
 4. *Groups.*  A cluster of one unit is grouped there; the roots of split clusters, a forest, are joined by
    components().
 
-Rows that share an id count as one document.
+Of rows that share an id, the words with the least hash stand for it, whatever the order of the rows; other words under that
+id are compared with nothing, and one_of_each() keeps them.
 """
 
 from __future__ import annotations
@@ -118,12 +119,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(doc_hashes(h, words.first, 1).view(np.int64)),
                     pa.array(doc_hashes(h, words.first, 2).view(np.int64)),
                     pa.array(counts, pa.int64()),
                     list_array(keys[some].view(np.int64).ravel(), np.where(some, BANDS, 0), pa.int64()),
                 ],
-                names=["doc_id", "k1", "k2", "n", "bands"],
+                names=["doc_id", "th", "k1", "k2", "n", "bands"],
             )
 
 
@@ -202,12 +204,32 @@ def _roots(n: int, pairs: np.ndarray) -> list[int]:
     return parent
 
 
+def _text_keys(texts: list[str | None]) -> list[tuple[int, int]]:
+    """The hashes k1, k2 of each text's words."""
+    words = words_of(*text_buffer(pa.array(texts, pa.string())))
+    h = words.hashes()
+    return list(zip(*(doc_hashes(h, words.first, k).view(np.int64).tolist() for k in (1, 2)), strict=True))
+
+
+def _one_text_each(rows: list[tuple]) -> list[tuple]:
+    """Rows (block, id, copies, text) in the order of their ids: of those that share an id the one with the least hash."""
+    again = {a[1] for a, b in zip(rows, rows[1:], strict=False) if a[1] == b[1]}
+    if not again:
+        return rows
+    some = [r for r in rows if r[1] in again]
+    best = {}
+    for r, k in zip(some, _text_keys([r[3] for r in some]), strict=True):
+        if r[1] not in best or k < best[r[1]][0]:
+            best[r[1]] = k, r
+    return sorted([r for r in rows if r[1] not in again] + [r for _, r in best.values()], key=lambda r: r[1])
+
+
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (cluster, i, j, parts, block, doc_id, copies, text) -> (doc_id, links, root, whole) for each unit (cluster, i, j)."""
     unit, held = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = sorted({r[1]: r for r in held}.values(), key=lambda r: r[1])
+        rows = _one_text_each(sorted(held, key=lambda r: r[1]))
         if len(rows) < 2:
             return
         block, ids, copies = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
@@ -233,13 +255,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links counts the other documents that are linked with it directly, copies among them.  A row whose id is null
     stands alone: it keeps nulls for its class, and no links.
     """
+    return _near(docs, id_col, text_col, False)
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, to_drop: bool) -> DataFrame:
+    """near_duplicates(), or with to_drop (doc_id, th), id and hash of the text, of the rows that have a smaller document in their group."""
     spark = docs.sparkSession
-    source = id_and_text(docs, id_col, text_col)
+    source = id_and_text(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     with Scratch(spark) as tmp:
-        seen = tmp.table(source.where("doc_id is not null").mapInArrow(_profile, "doc_id long, k1 long, k2 long, n long, bands array<long>").dropDuplicates(["doc_id"]), "profile")
+        rows = tmp.table(source.where("doc_id is not null").mapInArrow(_profile, "doc_id long, th long, k1 long, k2 long, n long, bands array<long>"), "profile")
+        seen = rows
+        again = tmp.table(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+        if not again.isEmpty():
+            least = F.min_by(F.struct("k1", "k2", "n", "bands"), F.struct("k1", "k2")).alias("x")
+            several = rows.join(again, "doc_id").groupBy("doc_id").agg(least).select("doc_id", "x.*")
+            seen = tmp.table(rows.drop("th").join(again, "doc_id", "left_anti").unionByName(several), "seen")
         copies = seen.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")).where("copies > 1")
         copies = tmp.table(copies, "copies")  # a table, so that the join below can split a hot class
-        classes = tmp.table(seen.drop("bands").join(copies, ["k1", "k2"], "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n"), "classes")
+        classes = tmp.table(seen.drop("bands").join(copies, ["k1", "k2"], "left").select("doc_id", "k1", "k2", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n"), "classes")
         reps = classes.where("doc_id = copy_id and n > 0").select("doc_id", "copies", "n")
 
         members = seen.select("doc_id", "bands").join(reps.select("doc_id"), "doc_id").select("doc_id", F.explode("bands").alias("band"))
@@ -252,8 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
         held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         held = held.select("doc_id", "copies", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "parts", "block")
-        work = source.dropDuplicates(["doc_id"]) if False else source
-        work = work.join(held, "doc_id").select("cluster", "i", "j", "parts", "block", "doc_id", "copies", "text")
+        work = source.select("doc_id", "text").join(held, "doc_id").select("cluster", "i", "j", "parts", "block", "doc_id", "copies", "text")
         work = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         found = tmp.table(work.mapInArrow(_unit, "doc_id long, links long, root long, whole boolean"), "links")
 
@@ -262,12 +294,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = counts.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "links", F.coalesce("component", "root").alias("component"))
         counts = tmp.table(counts, "counts")  # a table too, for the same reason
         out = classes.join(counts.withColumnRenamed("doc_id", "copy_id"), "copy_id", "left")
-        out = out.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        alone = source.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-        return tmp.keep(out.unionByName(alone), "near")
+        out = out.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "k1", "k2")
+        if to_drop:
+            out = tmp.table(out.where("doc_id <> class_id").select("doc_id", "k1", "k2"), "later")
+            return tmp.keep(rows.select("doc_id", "th", "k1", "k2").join(out, ["doc_id", "k1", "k2"]).select("doc_id", "th").distinct(), "drop")
+        none = F.lit(None).cast("long")
+        alone = source.where("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+        return tmp.keep(out.drop("k1", "k2").unionByName(alone), "near")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have a smaller one in their group."""
-    rest = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(rest, id_col, "left_anti")
+    """The documents without those that have a smaller one in their group.
+
+    Rows with a null id stay, and so do words that were not compared as another row with their id stood for it.
+    """
+    rest = _near(docs, id_col, text_col, True).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
+    return docs.join(rest, same, "left_anti")

@@ -40,7 +40,8 @@ def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps, each a grouped minimum with map-side
     combine and a join, until the edges are stars apart from each other; the number of rounds is about the logarithm of the
-    longest path.  No edge and no label is gathered on the driver, only the number of nodes that still stand in the way.
+    longest path.  The minima are written as a table, so that the join can split the node at the heart of a hot star, or needs no
+    shuffle where they are few.  No edge and no label is gathered on the driver, only the number of nodes that still stand in the way.
     """
     star = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     star = tmp.table(star, "edges")
@@ -51,10 +52,10 @@ def components(tmp: Scratch, edges: DataFrame) -> DataFrame:
         if not in_the_way.count():
             break
         both = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = tmp.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = tmp.table(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = tmp.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         star = tmp.table(small, "star")

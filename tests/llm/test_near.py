@@ -48,6 +48,24 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in one_of_each(frame(spark, rows)).collect()) == ["1", "1", "3", "None"]
 
 
+def test_rows_that_share_an_id(spark):
+    """The words with the least hash stand for an id, in any order of the rows; what was not compared stays."""
+    run = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    a, b, c = run("a", 40), run("b", 40), run("c", 30)
+    rows = [(1, a), (2, a), (2, b), (2, a.replace(" ", "\n")), (3, b), (4, f"{b} x"), (5, c), (5, f"{c} y"), (6, c), (0, b + " z")]
+    out, kept = [], []
+    for some in (rows, rows[::-1], rows[4:] + rows[:4]):
+        out.append(sorted(tuple(r) for r in near_duplicates(frame(spark, some)).collect()))
+        kept.append(sorted((r.doc_id, r.text) for r in one_of_each(frame(spark, some)).collect()))
+    assert out[0] == out[1] == out[2] and kept[0] == kept[1] == kept[2]
+    keys = near._text_keys([t for _, t in rows])
+    stand = {i: min((k, t) for k, (j, t) in zip(keys, rows) if j == i)[1] for i, _ in rows}
+    want = brute_near(list(stand.items()))
+    assert {r[0]: (r[3], r[1]) for r in out[0]} == want
+    gone = lambda i, t: want[i][1] != i and t.split() == stand[i].split()
+    assert kept[0] == sorted((i, t) for i, t in rows if not gone(i, t))
+
+
 def test_bulk_and_single_verification_agree():
     texts = [" ".join(t.split()) for _, t in planted(11, 200) if t and t.split()]
     pairs = {tuple(p) for p in links(texts, np.full(len(texts), -1)).tolist()}
