@@ -7,12 +7,13 @@ among the items, w(s) = ln(1 + items / items that hold s):
 
 and a window of at least 0.8 is a hit.  An item of one to four words is one shingle, all of its words.
 
-1. *Windows.*  Every window as long as the item (or up to the text's end) counts.  One is left out only if the weights of its
-   shingles that the item holds too, each time they occur, are below 0.8 of the item's: its similarity is below 0.8 then.
-2. *Fingerprints.*  The 64-bit SimHash of each window and item over their weighted shingles.  Two fingerprints within Hamming
-   radius 23 differ by at most two bits in one of eight 8-bit blocks; a table for each block gives, for each of its 256 values,
-   the items within two bits, so the union over the blocks holds every item within the radius.  At similarity 0.8 the expected
-   distance is 13 bits with a deviation of 3.2.
+1. *Windows.*  Every window as long as an item (or up to the text's end) counts, for each length that items have.  One is left out only if the
+   weights of its shingles that any item holds, each time they occur, are below 0.8 of the least weight of the items of its length: its
+   similarity with each of them is below 0.8 then.
+2. *Fingerprints.*  The 128-bit SimHash of each window and item over their weighted shingles.  Two fingerprints within Hamming
+   radius 47 differ by at most two bits in one of sixteen 8-bit blocks; an index for each block gives, for each of its 256 values,
+   the items of that length within two bits, so the union over the blocks holds every item within the radius.  These are the candidates.
+   At similarity 0.8 the expected distance is 26 bits with a deviation of 4.6, between strangers 64 with 5.7.
 3. *Proof.*  Candidates within the radius have their similarity computed exactly.
 
 Items are taken in rounds of bounded size, each broadcast to one pass over the documents; documents are never shuffled.  Weights are
@@ -22,6 +23,7 @@ those of the whole benchmark in every round, so results do not depend on the rou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.session import id_and_text
-from cellweave.llm.words import Words, doc_hashes, slices, text_buffer, valid_windows, window_hashes, words_of
+from cellweave.llm.words import Words, mix, slices, text_buffer, valid_windows, window_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-RADIUS, BLOCKS = 23, 8
-#: Words of items in one round, and positions whose votes are summed up at once.
-ROUND_WORDS, CHUNK = 1_000_000, 8192
+RADIUS, BLOCKS = 47, 16
+#: Words of items in one round, each item counting ITEM more for its place in the index, positions whose votes are summed up at once, and pairs of windows and items whose candidates are.
+ROUND_WORDS, ITEM, CHUNK, PAIRS = 1_000_000, 16, 8192, 1 << 24
 SCHEMA = "doc_id long, item_id long, start long, n_words long, similarity double"
 
 
@@ -47,7 +49,7 @@ def _shingles(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
 
 
 def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of weighted hashes, as eight bytes, by prefix sums of votes; runs must not be empty.
+    """SimHash of each run of weighted hashes, as BLOCKS bytes, by prefix sums of votes; runs must not be empty.
 
     Weights are taken in steps of 2**-20, so that sums are exact and equal runs have equal fingerprints.
     """
@@ -62,7 +64,8 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, co
     high, order = low + counts, np.argsort(low, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(low[order] // CHUNK)) + 1):
         begin, x = low[part[0]], at[low[part[0]] : high[part].max()]
-        bits = np.unpackbits(hashes[x].view(np.uint8).reshape(-1, 8), axis=1)
+        wide = np.stack([hashes[x], mix(hashes[x] ^ np.uint64(0x9E3779B97F4A7C15))], axis=1)
+        bits = np.unpackbits(wide.view(np.uint8).reshape(-1, BLOCKS), axis=1)
         sums = np.zeros((len(x) + 1, 8 * BLOCKS), np.int64)
         np.cumsum(np.where(bits, votes[x, None], -votes[x, None]), axis=0, out=sums[1:])
         for k in range(0, len(part), CHUNK):
@@ -116,6 +119,37 @@ def _weights(texts: DataFrame) -> Weights:
     return out
 
 
+@dataclass
+class Length:
+    """The items of one length, with an index of their fingerprints: near[k, v] has a bit for each item within RADIUS // BLOCKS of v in block k."""
+
+    words: int
+    items: np.ndarray
+    totals: np.ndarray
+    prints: np.ndarray
+    near: np.ndarray
+
+    @classmethod
+    def of(cls, words: int, items: np.ndarray, totals: np.ndarray, prints: np.ndarray) -> Length:
+        values = np.arange(256, dtype=np.uint8)
+        close = np.unpackbits(values[:, None] ^ values, axis=1).reshape(256, 256, 8).sum(axis=2) <= RADIUS // BLOCKS
+        return cls(words, items, totals, prints, np.stack([np.packbits(close[:, prints[:, k]], axis=1) for k in range(BLOCKS)]))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place of the item) of all pairs within the radius, from the union of the blocks' lists."""
+        out = [(np.zeros(0, np.int64),) * 2]
+        step = max(1, PAIRS // (8 * self.near.shape[2]))
+        for low in range(0, len(prints), step):
+            some = prints[low : low + step]
+            listed = self.near[0, some[:, 0]].copy()
+            for k in range(1, BLOCKS):
+                listed |= self.near[k, some[:, k]]
+            window, item = np.nonzero(np.unpackbits(listed, axis=1, count=len(self.items)))
+            within = np.unpackbits(some[window] ^ self.prints[item], axis=1).sum(axis=1) <= RADIUS
+            out.append((window[within] + low, item[within]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 class Items:
     """A round of benchmark items, ready to search.
 
@@ -123,37 +157,34 @@ class Items:
     without it the round is the whole benchmark.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], weights: Weights | None = None):
+    def __init__(self, rows: list[tuple[int | None, str]], weights: Weights | None = None):
         words = words_of(*text_buffer(pa.array([t for _, t in rows], pa.string())))
         h, n = words.hashes(), words.counts
-        self.ids, self.words = np.array([i for i, _ in rows], np.int64), n
-        self.size = np.minimum(n, SHINGLE)
+        self.ids, self.words = pa.array([i for i, _ in rows], pa.int64()), n
+        sizes = np.minimum(n, SHINGLE)
         self.by_size, self.weights = {}, {} if weights is None else None
-        for size in np.unique(self.size):
-            mine = np.flatnonzero(self.size == size)
-            hashes, _ = _shingles(words, h, int(size))
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            hashes, _ = _shingles(words, h, size)
             counts = n[mine] - size + 1
             x, ends = hashes[_ranges(words.first[mine], counts)], np.cumsum(counts)
-            pairs = np.unique(np.stack([x, np.repeat(mine, counts).astype(np.uint64)], axis=1), axis=0)
-            item = pairs[:, 1].astype(np.int64)
-            known, starts, df = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+            place = np.repeat(np.arange(len(mine)), counts)
+            pairs = np.unique(np.stack([x, place.astype(np.uint64)], axis=1), axis=0)
+            known, df = np.unique(pairs[:, 0], return_counts=True)
             if weights is None:
-                self.weights[int(size)] = (float(np.log1p(len(mine))), known[df > 1], np.log1p(len(mine) / df[df > 1]))
-            weight = _weigh(known, *(weights or self.weights)[int(size)])
-            total = np.zeros(len(rows))
-            np.add.at(total, item, np.repeat(weight, df))
-            prints = np.zeros((len(rows), BLOCKS), np.uint8)
-            prints[mine] = fingerprints(x, weight[np.searchsorted(known, x)], ends - counts, counts)
-            near = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
-            tables = np.stack([np.packbits(near[:, prints[:, k]], axis=1) for k in range(BLOCKS)])
-            runs = dict(zip(mine.tolist(), np.split(x, ends[:-1]), strict=True))
-            self.by_size[int(size)] = (known, np.r_[starts, len(item)], item, total, prints, tables, runs)
+                self.weights[size] = (float(np.log1p(len(mine))), known[df > 1], np.log1p(len(mine) / df[df > 1]))
+            weight = _weigh(known, *(weights or self.weights)[size])
+            totals = np.bincount(pairs[:, 1].astype(np.int64), np.repeat(weight, df), len(mine))
+            prints = fingerprints(x, weight[np.searchsorted(known, x)], ends - counts, counts)
+            runs = dict(zip(mine.tolist(), (np.unique(r) for r in np.split(x, ends[:-1])), strict=True))
+            groups = [Length.of(k, mine[at], totals[at], prints[at]) for k in np.unique(n[mine]).tolist() for at in [np.flatnonzero(n[mine] == k)]]
+            self.by_size[size] = (known, weight, groups, runs)
 
     def search(self, words: Words, weights: Weights | None = None) -> tuple[np.ndarray, ...]:
         """document, item, start and similarity of the best window of every document and item with a hit"""
         h, out = words.hashes(), []
-        doc_of, n_all = np.repeat(np.arange(len(words.counts)), words.counts), int(words.first[-1]) + 1
-        for size, (known, starts, item, total, prints, tables, runs) in self.by_size.items():
+        doc_of = np.repeat(np.arange(len(words.counts)), words.counts)
+        for size, (known, weight, groups, runs) in self.by_size.items():
             hashes, ok = _shingles(words, h, size)
             place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             shared = (known[place] == hashes) & ok
@@ -161,89 +192,61 @@ class Items:
             if not len(hit):
                 continue
             w = _weigh(hashes, *(weights or self.weights)[size])
-            n = starts[place[hit] + 1] - starts[place[hit]]
-            it, pos = item[_ranges(starts[place[hit]], n)], np.repeat(hit, n)
-            order = np.argsort(it, kind="stable")
-            it, pos = it[order], pos[order]
-            key, cum = it * n_all + pos, np.r_[0, np.cumsum(w[pos])]
-
-            def held(it: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray = key, cum: np.ndarray = cum) -> np.ndarray:
-                """Weight of the shared shingles that start at low to high, repeated ones each time: no less than that in common."""
-                return cum[np.searchsorted(key, it * n_all + high, "right")] - cum[np.searchsorted(key, it * n_all + low)]
-
-            def enough(it: np.ndarray, most: np.ndarray, total: np.ndarray = total) -> np.ndarray:
-                return most >= THRESHOLD * total[it] - 1e-6
-
-            # Every window around a shared shingle, but for those that cannot hold enough.
-            low = np.maximum(pos - (self.words[it] - size), words.first[doc_of[pos]])
-            high = np.minimum(pos + self.words[it], words.first[doc_of[pos] + 1]) - size
-            rich = enough(it, held(it, low, np.maximum(high, pos)))
-            it, low, pos = it[rich], low[rich], pos[rich]
-            if not len(it):
-                continue
-            first = np.maximum(it * n_all + low, np.r_[-1, (it * n_all + pos)[:-1]] + 1)
-            begin = _ranges(first, it * n_all + pos - first + 1)
-            it, begin = begin // n_all, begin % n_all
-            end = np.minimum(begin + self.words[it], words.first[doc_of[begin] + 1])
-            most = held(it, begin, end - size)
-            rich = enough(it, most)
-            it, begin, end, most = it[rich], begin[rich], end[rich], most[rich]
-            # Fingerprints only of windows; a window may have many items.
-            windows, which = np.unique(begin * (n_all + 1) + end, return_inverse=True)
-            windows = np.stack([windows // (n_all + 1), windows % (n_all + 1)], axis=1)
-            mine = fingerprints(hashes, w, windows[:, 0], windows[:, 1] - windows[:, 0] - size + 1)[which]
-            candidate = np.zeros(len(it), bool)
-            for k in range(BLOCKS):
-                candidate |= (tables[k, mine[:, k], it >> 3] >> (7 - (it & 7)).astype(np.uint8) & 1).astype(bool)
-            candidate &= np.unpackbits(mine ^ prints[it], axis=1).sum(axis=1) <= RADIUS
-            it, begin, end, most = it[candidate], begin[candidate], end[candidate], most[candidate]
-            # The most promising windows first; when none left can be as good as the best, a document and item are done.
-            order = np.lexsort((begin, -most, it, doc_of[begin]))
-            best: dict[tuple, tuple] = {}
-            for d, i, b, e, m in zip(*(c[order].tolist() for c in (doc_of[begin], it, begin, end, most)), strict=True):
-                so_far = best.get((d, i))
-                if so_far and (m + 1e-6) / total[i] < so_far[0]:
+            cum = np.r_[0, np.cumsum(np.where(shared, weight[place], 0))]
+            first, last = words.first[doc_of[hit]], words.first[doc_of[hit] + 1]
+            for group in groups:
+                least = THRESHOLD * group.totals.min() - 1e-6
+                # Every window around a shared shingle, but for those that cannot hold enough.
+                low, high = np.maximum(hit - (group.words - size), first), np.minimum(hit + group.words, last) - size
+                rich = cum[np.maximum(high, hit) + 1] - cum[low] >= least
+                pos, low = hit[rich], low[rich]
+                low = np.maximum(low, np.r_[-1, pos[:-1]] + 1)
+                begin = _ranges(low, pos - low + 1)
+                end = np.minimum(begin + group.words, words.first[doc_of[begin] + 1])
+                most = cum[end - size + 1] - cum[begin]
+                rich = most >= least
+                begin, end, most = begin[rich], end[rich], most[rich]
+                if not len(begin):
                     continue
-                run = runs[i]
-                own, at = np.unique(hashes[b : e - size + 1], return_index=True)
-                s = w[b + at][np.isin(own, run)].sum() / max(w[b + at].sum(), total[i])
-                if s >= THRESHOLD - 1e-9:
-                    found = (min(round(s, 9), 1.0), self._in_place(hashes[b : e - size + 1], run, b == words.first[d]), -b)
-                    best[d, i] = max(found, so_far or found)
-            out += [(d, i, -b, s) for (d, i), (s, _, b) in best.items()]
+                window, at = group.candidates(fingerprints(hashes, w, begin, end - begin - size + 1))
+                begin, end, most, total, item = begin[window], end[window], most[window], group.totals[at], group.items[at]
+                # The most promising windows first; one that cannot be better than the best so far is passed over.
+                order = np.lexsort((begin, -most, item, doc_of[begin]))
+                order = order[most[order] >= THRESHOLD * total[order] - 1e-6]
+                best: dict[tuple, tuple] = {}
+                for d, i, b, e, m, t in zip(*(c[order].tolist() for c in (doc_of[begin], item, begin, end, most, total)), strict=True):
+                    so_far = best.get((d, i))
+                    if so_far and (m / t < so_far[0] - 1e-9 or (b > -so_far[1] and min(m / t, 1) < so_far[0] + 1e-9)):
+                        continue
+                    own, where = np.unique(hashes[b : e - size + 1], return_index=True)
+                    s = w[b + where][np.isin(own, runs[i], assume_unique=True)].sum() / max(w[b + where].sum(), t)
+                    if s >= THRESHOLD - 1e-9:
+                        found = (min(round(s, 9), 1.0), -b)
+                        best[d, i] = max(found, so_far or found)
+                out += [(d, i, -b, s) for (d, i), (s, b) in best.items()]
         if not out:
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
         d, i, b, s = (np.array(c) for c in zip(*out, strict=True))
         return d, i, b - words.first[d], s
 
-    @staticmethod
-    def _in_place(window: np.ndarray, run: np.ndarray, at_start: bool) -> bool:
-        """Whether a shared shingle lies on its own place within the item, or further on in an item cut off by the text's start."""
-        if (window == run[: len(window)]).any():
-            return True
-        return at_start and any((window[: len(run) - k] == run[k : k + len(window)]).any() for k in range(1, len(run)))
-
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items, weights: Weights | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             words = words_of(*text_buffer(part.column(1)))
             d, i, b, s = items.search(words, weights)
-            order = np.lexsort((b, -s, i, d))
+            order = np.lexsort((i, d))
             d, i, b, s = d[order], i[order], b[order], s[order]
-            new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1])] if len(d) else np.zeros(0, bool)
-            d, i, b, s = d[new], i[new], b[new], s[new]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(d, pa.int64())), pa.array(items.ids[i], pa.int64()), pa.array(b, pa.int64()), pa.array(np.minimum(items.words[i], words.counts[d] - b), pa.int64()), pa.array(s, pa.float64())],
+                [part.column(0).take(pa.array(d, pa.int64())), items.ids.take(pa.array(i, pa.int64())), pa.array(b, pa.int64()), pa.array(np.minimum(items.words[i], words.counts[d] - b), pa.int64()), pa.array(s, pa.float64())],
                 names=["doc_id", "item_id", "start", "n_words", "similarity"],
             )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item with a hit, at its best window: of those most similar the first, those before
-    others in which a shared shingle lies on its own place within the item.
+    """A row for each document and item with a hit, at its best window: of those most similar (to nine places) the first.
 
-    Items without words and rows with null texts hit nothing; ids, null ones too, are passed on as they are.
+    Items without words and rows with null texts hit nothing; ids, null ones and repeated ones too, are passed on as they are, a row for each row.
     """
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col)
@@ -263,8 +266,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 # More than one round: weights are those of the whole benchmark in each.
                 weights = weights or spark.sparkContext.broadcast(_weights(benchmark.select(F.col(item_text).cast("string"))))
                 flush()
-            held.append((-1 if row[0] is None else row[0], row[1]))
-            size += n
+            held.append((row[0], row[1]))
+            size += n + ITEM
     flush()
     if not out:
         return source.where("false").select("doc_id", *(F.lit(0).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")[1:])))

@@ -47,7 +47,7 @@ b AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(rege
       '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM b"""
 
-#: For items of at least five words.
+#: For items of at least five words; every window that shares a shingle.
 LEAKS = f"""
 WITH i AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5),
 si AS (SELECT item_id, n, o, array_to_string(w[o:o + 4], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, n - 3)) AS o FROM i)),
@@ -55,7 +55,8 @@ f AS (SELECT s, ln(1 + (SELECT count(*) FROM i) / count(DISTINCT item_id)) AS we
 t AS (SELECT item_id, sum(weight) AS total FROM (SELECT DISTINCT item_id, s FROM si) JOIN f USING (s) GROUP BY item_id),
 d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 sd AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, n - 3)) AS p FROM d WHERE n >= 5)),
-laid AS (SELECT DISTINCT doc_id, item_id, greatest(p - o, 0) + 1 AS b, si.n FROM sd JOIN si USING (s)),
+met AS (SELECT DISTINCT doc_id, item_id, p, si.n FROM sd JOIN si USING (s)),
+laid AS (SELECT DISTINCT doc_id, item_id, unnest(range(greatest(p - n + 5, 1), p + 1)) AS b, n FROM met),
 win AS (SELECT laid.*, least(laid.n, d.n - b + 1) AS size FROM laid JOIN d USING (doc_id)),
 own AS (SELECT DISTINCT win.doc_id, item_id, b, size, s FROM win JOIN sd ON sd.doc_id = win.doc_id AND p BETWEEN b AND b + size - 5),
 sim AS (SELECT doc_id, item_id, b, size, round(least(sum(CASE WHEN x.s IS NOT NULL THEN weight ELSE 0 END)
