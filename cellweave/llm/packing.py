@@ -1,23 +1,25 @@
 """Packing documents into token sequences by order-preserving dynamic programming.
 
 The documents of a partition, each with an end token, form one stream in their given order.  Cuts are chosen
-among document ends, sentence ends and, in stretches without either, places 64 tokens apart.
+among document ends, sentence ends and, in stretches without either, places HARD_STEP tokens apart (with step=1, after any token).
 With f(c) the least cost of the stream up to cut c, and a window (b, c] of at most 4096 tokens,
 
     f(c) = penalty(c) + SEQUENCE + min over b of f(b) + padding(c - b).
 
 A sequence is padded to 4096, so padding is linear in b: the minimum of f(b) + b over a sliding window, kept by a monotone
 queue in amortised constant time.  Windows whose length is a power of two need no padding; those
-are at most nine more transitions for each cut.  The penalty is nothing at a document's end, one token at a
+are at most thirteen more transitions for each cut.  The penalty is nothing at a document's end, one token at a
 sentence's end and sixteen elsewhere, so texts are truncated only where that saves padding.
 
-The stream is handled in blocks of about a million tokens; what lies behind a block's last good cut opens the next block.  Partitions are packed on their own, so nothing is
-shuffled, and each adds at most one window that is not full.
+The program runs over the whole stream of a partition.  Windows are given out as soon as all cuts from which it may go on agree on them,
+and only what lies behind them is held; how often that is tried (BLOCK_TOKENS) changes nothing in the result.  Partitions are packed on their own,
+so nothing is shuffled; the end of each partition ends a sequence, which is the one way in which the layout of the input matters.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -38,128 +40,146 @@ BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def best_cuts(cuts: np.ndarray, penalty: np.ndarray, length: int = LENGTH, more: bool = False) -> list[int]:
-    """Indices into cuts (rising, from 0, gaps of at most `length`) where the cheapest windows end.
-
-    more: the stream goes on behind the last cut.  The windows then end at the best of the cuts in the last `length` tokens,
-    what is left of the stream being charged at the average cost so far.
-    """
-    n = len(cuts)
-    if more and cuts[-1] <= length:
-        return []
-    at = np.full(int(cuts[-1]) + 1, -1, np.int32)
-    at[cuts] = np.arange(n)
-    ends, begins = [], []
-    step = 16
-    while step <= length:
-        k = np.flatnonzero(cuts >= step)
-        b = at[cuts[k] - step]
-        ends.append(k[b >= 0])
-        begins.append(b[b >= 0])
-        step *= 2
-    ends, begins = np.concatenate(ends or [[]]).astype(np.int64), np.concatenate(begins or [[]]).astype(np.int64)
-    order = np.argsort(ends, kind="stable")
-    begins, bounds = begins[order].tolist(), np.searchsorted(ends[order], np.arange(n + 1)).tolist()
-    place, price = cuts.tolist(), (penalty + SEQUENCE).tolist()
-    cost, came, queue = [0] * n, [0] * n, deque([0])
-    value = [0] * n  # f(b) + b
-    for k in range(1, n):
-        c = place[k]
-        while place[queue[0]] < c - length:
-            queue.popleft()
-        b = queue[0]
-        least = value[b] + length - c
-        for i in begins[bounds[k] : bounds[k + 1]]:
-            if cost[i] < least:
-                least, b = cost[i], i
-        cost[k], came[k] = least + price[k], b
-        v = value[k] = cost[k] + c
-        while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(k)
-    out, k = [], n - 1
-    if more:
-        first = int(np.searchsorted(cuts, cuts[-1] - length))
-        last = range(max(first, 1), n)
-        rate = min(cost[i] / place[i] for i in last)
-        k = min(last, key=lambda i: cost[i] + rate * (place[-1] - place[i]))
-    while k:
-        out.append(k)
-        k = came[k]
-    return out[::-1]
-
-
-def cut_places(segments: list[tuple], ending: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stream of the segments, the places where it may be cut, and their penalties."""
-    stream = np.concatenate([s[1] for s in segments])
-    bounds = np.cumsum([len(s[1]) for s in segments])
+class Frontier:
+    """The dynamic program over cuts (rising places, gaps of at most `length`) that arrive in parts, from place 0 on."""
+
+    def __init__(self, length: int = LENGTH):
+        self.length = length
+        # Of all cuts behind the last one that is settled, and of that one itself: place, f, f + place, and the cut before.
+        self.place, self.cost, self.value, self.came = [0], [0], [0], [0]
+        self.queue = deque([0])
+
+    def extend(self, cuts: np.ndarray, penalty: np.ndarray) -> None:
+        known, first = len(self.place), bisect_left(self.place, int(cuts[0]) - self.length) if len(cuts) else 0
+        places = np.concatenate([np.array(self.place[first:], np.int64), cuts])
+        at = np.full(int(places[-1] - places[0]) + 1, -1, np.int64)
+        at[places - places[0]] = np.arange(len(places)) + first
+        ends, begins, step = [], [], 1
+        while step <= self.length:
+            before = cuts - step - places[0]
+            b = np.where(before >= 0, at[np.maximum(before, 0)], -1)
+            ends.append(np.flatnonzero(b >= 0))
+            begins.append(b[b >= 0])
+            step *= 2
+        ends, begins = np.concatenate(ends), np.concatenate(begins)
+        begins, bounds = begins[np.argsort(ends, kind="stable")].tolist(), np.r_[0, np.cumsum(np.bincount(ends, minlength=len(cuts)))].tolist()
+        place, cost, value, came, queue, length = self.place, self.cost, self.value, self.came, self.queue, self.length
+        for k, (c, price) in enumerate(zip(cuts.tolist(), (penalty + SEQUENCE).tolist(), strict=True)):
+            while place[queue[0]] < c - length:
+                queue.popleft()
+            b = queue[0]
+            least = value[b] + length - c
+            for i in begins[bounds[k] : bounds[k + 1]]:
+                if cost[i] < least:
+                    least, b = cost[i], i
+            v = least + price + c
+            place.append(c)
+            cost.append(v - c)
+            value.append(v)
+            came.append(b)
+            while queue and value[queue[-1]] >= v:
+                queue.pop()
+            queue.append(known + k)
+
+    def _path(self, k: int) -> list[int]:
+        out = []
+        while k:
+            out.append(self.place[k])
+            k = self.came[k]
+        return out[::-1]
+
+    def settled(self) -> list[int]:
+        """Ends of windows that every way to go on has in common; what lies before them is forgotten."""
+        n = len(self.place)
+        live = bytearray(n)
+        first = bisect_left(self.place, self.place[-1] - self.length)
+        live[first:] = b"\1" * (n - first)
+        count, k = n - first, n - 1
+        while count > 1:
+            if live[k]:
+                count -= 1
+                b = self.came[k]
+                count += not live[b]
+                live[b] = 1
+            k -= 1
+        while not live[k]:
+            k -= 1
+        out = self._path(k)
+        self.place, self.cost, self.value = self.place[k:], self.cost[k:], self.value[k:]
+        self.came = [max(b - k, 0) for b in self.came[k:]]
+        self.queue = deque(i - k for i in self.queue)
+        return out
+
+    def finished(self) -> list[int]:
+        """Ends of the windows up to the last cut."""
+        return self._path(len(self.place) - 1)
+
+
+def cut_places(stream: np.ndarray, bounds: np.ndarray, ending: np.ndarray, step: int = HARD_STEP) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a stream of documents that end at `bounds` may be cut, and their penalties."""
     sentence = np.flatnonzero(ending[stream]) + 1
     places = np.unique(np.concatenate([[0], sentence, bounds]))
-    gaps = np.diff(places)
-    wide = np.flatnonzero(gaps > 4 * HARD_STEP)
+    wide = np.flatnonzero(np.diff(places) > (4 * step if step > 1 else 1))
     if len(wide):
-        extra = [np.arange(places[k] + HARD_STEP, places[k + 1], HARD_STEP) for k in wide]
+        extra = [np.arange(places[k] + step, places[k + 1], step) for k in wide]
         places = np.unique(np.concatenate([places, *extra]))
     penalty = np.full(len(places), HARD)
     penalty[np.searchsorted(places, sentence)] = SENTENCE
     penalty[np.searchsorted(places, bounds)] = 0
-    return stream, places, penalty
+    return places[1:], penalty[1:]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str | None, with_ids: bool, step: int = HARD_STEP) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path)
-    ending = t.ending()
+    ending, frontier = t.ending(), Frontier(LENGTH)
     sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-
-    def run(segments: list[tuple], last: bool) -> tuple[pa.RecordBatch, list[tuple]]:
-        """segments: (doc_id, ids, start, doc_tokens).  Returns the pieces, and what opens the next block if more may come."""
-        nonlocal sequence
-        _, places, penalty = cut_places(segments, ending)
-        windows = places[best_cuts(places, penalty, more=not last)].tolist()
-        rows, ids_out, carried, at, w, filled = [], [], [], 0, 0, 0
-        for doc, ids, start, tokens in segments:
-            done = 0
-            while done < len(ids):
-                if w == len(windows):
-                    carried.append((doc, ids[done:], start + done, tokens))
-                    break
-                take = min(len(ids) - done, windows[w] - at)
-                piece = ids[done : done + take]
-                rows.append((doc, start + done, take, zlib.crc32(piece.tobytes()), tokens, sequence + w, filled))
+    held: deque[tuple] = deque()  # (doc_id, ids, start, doc_tokens) of what is not given out yet
+    at = end = held_tokens = 0  # where the stream is given out up to, and where it ends
+
+    def give(windows: list[int]) -> pa.RecordBatch:
+        nonlocal sequence, at, held_tokens
+        rows, ids_out, begin = [], [], at
+        for w in windows:
+            while at < w:
+                doc, ids, start, tokens = held.popleft()
+                take = min(len(ids), w - at)
+                piece = ids[:take]
+                if take < len(ids):
+                    held.appendleft((doc, ids[take:], start + take, tokens))
+                rows.append((doc, start, take, zlib.crc32(piece.tobytes()), tokens, sequence, at - begin))
                 if with_ids:
                     ids_out.append(piece)
-                done, at, filled = done + take, at + take, filled + take
-                if at == windows[w]:
-                    w, filled = w + 1, 0
-        sequence += len(windows)
+                at += take
+            begin, sequence = w, sequence + 1
+        held_tokens = end - at
         cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         if with_ids:
             cols.append(pa.array([x.astype(np.int32) for x in ids_out], pa.list_(pa.int32())))
             names.append("ids")
-        return pa.RecordBatch.from_arrays(cols, names=names), carried
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
-    segments, size = [], 0
     for batch in batches:
         for part in slices(batch):
             flat, bounds = t.encode_flat(part.column(1))
-            flat, bounds = np.insert(flat, bounds[1:], END_ID), (bounds + np.arange(len(bounds))).tolist()
-            for doc, i, j in zip(part.column(0).to_pylist(), bounds, bounds[1:], strict=False):
-                ids = flat[i:j]
-                segments.append((doc, ids, 0, len(ids)))
-                size += len(ids)
-                if size >= BLOCK_TOKENS:
-                    out, segments = run(segments, last=False)
-                    size = sum(len(s[1]) for s in segments)
-                    yield out
-    if segments:
-        yield run(segments, last=True)[0]
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of a document; with_ids adds the piece's token ids.
-
-    A null or empty text is its end token alone; a null id stays null.  Rows that repeat an id are packed as documents of their own.
+            flat, bounds = np.insert(flat, bounds[1:], END_ID), bounds + np.arange(len(bounds))
+            cuts, penalty = cut_places(flat, bounds[1:], ending, step)
+            frontier.extend(cuts + end, penalty)
+            held.extend((doc, flat[i:j], 0, j - i) for doc, i, j in zip(part.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False))
+            end += len(flat)
+            held_tokens += len(flat)
+            if held_tokens >= BLOCK_TOKENS:
+                yield give(frontier.settled())
+    if held:
+        yield give(frontier.finished())
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False, step: int = HARD_STEP) -> DataFrame:
+    """A row for each piece of a document; with_ids adds the piece's token ids; step=1 allows cuts after any token.
+
+    A null or empty text is its end token alone; a null id stays null.  Rows that repeat an id are packed as documents of their own, and of equally
+    cheap ways the longest last window is taken, or one that needs no padding only if it is cheaper.  Other columns, whatever their names, are not
+    read.  A very long text is held as a whole, with some ten bytes for each of its tokens.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: _pack(batches, path, with_ids), schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: _pack(batches, path, with_ids, step), schema)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from cellweave.llm import packing
 from cellweave.llm.lengths import at_limits, at_quantiles, token_counts
-from cellweave.llm.packing import best_cuts, pack
+from cellweave.llm.packing import Frontier, pack
 from cellweave.llm.tokens import WordTokenizer, tokenizer, vocabulary_path
 
 from .helpers import frame
@@ -105,26 +105,45 @@ def test_packing(spark, plain, monkeypatch):
     assert [(r.doc_id, r.length) for r in pack(frame(spark, [(None, None)])).collect()] == [(None, 1)]
 
 
-def test_blocks_carry_over(plain, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK_TOKENS", 20_000)
-    rows = [(k, "One two three. Four five six seven!  eight " * (k % 90)) for k in range(2000)]  # one window that is not full is 0.5 %
+def packed(rows, **kw):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
-    pieces = [type("P", (), r) for b in packing._pack(iter([batch]), None, False) for r in b.to_pylist()]
-    assert check_pieces(rows, pieces, plain, 4096) < 0.02
+    return [r for b in packing._pack(iter([batch.slice(k, 100) for k in range(0, len(rows), 100)]), None, False, **kw) for r in b.to_pylist()]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 16), st.sampled_from([0, 1, 16])), min_size=1, max_size=40))
-def test_cuts_are_the_cheapest(gaps):
-    places = np.cumsum([0, *(g for g, _ in gaps)])
-    penalty = np.array([0, *(p for _, p in gaps)])
+def test_blocks_change_nothing(plain, monkeypatch):
+    rows = [(k, "One two three. Four five six seven!  eight " * (k * k % 90)) for k in range(1500)] + [(5000, "word " * 30_000)] + [(6000 + k, "a b. " * k) for k in range(60)]
+    whole = packed(rows)
+    assert check_pieces(rows, [type("P", (), r) for r in whole], plain, 4096) < 0.005
+    for tokens in (1, 20_000, 1 << 40):
+        monkeypatch.setattr(packing, "BLOCK_TOKENS", tokens)
+        assert packed(rows) == whole
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 50_000)
+    some = rows[1490:1530]
+    check_pieces(some, [type("P", (), r) for r in packed(some, step=1)], plain, 4096)
+
+
+def price(n, length):
+    return 0 if n & (n - 1) == 0 else length - n
 
-    def price(b, c):
-        n = places[c] - places[b]
-        return None if n > 32 else (0 if n in (16, 32) else 32 - n) + packing.SEQUENCE + penalty[c]
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 16), st.sampled_from([0, 1, 16])), min_size=1, max_size=60), st.randoms(use_true_random=False))
+def test_cuts_are_the_cheapest(gaps, rng):
+    places = np.cumsum([0, *(g for g, _ in gaps)])
+    penalty = np.array([0, *(p for _, p in gaps)])
+    cost = lambda b, c: price(int(places[c] - places[b]), 32) + packing.SEQUENCE + penalty[c]
     best = [0.0] + [float("inf")] * len(gaps)
     for c in range(1, len(places)):
-        best[c] = min(best[b] + x for b in range(c) if (x := price(b, c)) is not None)
-    cuts = [0, *best_cuts(places, penalty, 32)]
-    assert sum(price(b, c) for b, c in zip(cuts, cuts[1:])) == best[-1]
+        best[c] = min(best[b] + cost(b, c) for b in range(c) if places[c] - places[b] <= 32)
+    whole = Frontier(32)
+    whole.extend(places[1:], penalty[1:])
+    cuts = whole.finished()
+    at = [0, *np.searchsorted(places, cuts)]
+    assert cuts[-1] == places[-1] and sum(cost(b, c) for b, c in zip(at, at[1:])) == best[-1]
+    parts, k, out = Frontier(32), 1, []
+    while k < len(places):
+        n = rng.randint(1, 9)
+        parts.extend(places[k : k + n], penalty[k : k + n])
+        out += parts.settled()
+        k += n
+    assert out + parts.finished() == cuts
