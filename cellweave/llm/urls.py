@@ -10,20 +10,28 @@ the stack holds just the hosts that fit, outermost first.  On each host of the s
 paths, whose prefixes are intervals too: the host's rules are kept sorted and looked up by falling back along
 nested prefixes.  Nothing is shuffled.
 
-Rules are broadcast as long as there are at most MAX_BROADCAST; a larger set is joined as a table on the hosts above each url.
+At most MAX_BROADCAST rules are broadcast and nothing is shuffled.  Beyond that rules and urls are dealt to the same ranges of keys,
+bounded by a sample of the urls' keys, and each range is swept in the same way: a rule goes to all ranges that its interval meets, and a key so
+frequent that it bounds several ranges has its urls dealt among them by a hash.  The result is the same.
+
+An empty or null rule host fits every host, the empty one too, and an empty or null path every path; a rule with a null verdict does not count, and
+of rules with the same host and path the greater verdict holds, so blocking goes before allowing.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 MAX_BROADCAST = 200_000
+#: Keys sampled for each range, rules that one range should hold at most.
+SAMPLED, RANGE_RULES = 20, 50_000
 ALLOW, BLOCK = "allow", "block"
 RULE_SCHEMA = "host string, path string, verdict string"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -46,13 +54,14 @@ def reversed_key(host: str) -> str:
 class RuleSweep:
     """Rules sorted by reversed host; urls must be asked for in rising order of their keys."""
 
-    def __init__(self, rules: list[tuple[str, str, str]]):
+    def __init__(self, rules: list[tuple[str | None, str | None, str | None]]):
         hosts: dict[str, dict[str, tuple]] = {}
         for host, path, verdict in rules:
-            host = (host or "").translate(_LOWER)
+            if verdict is None:
+                continue
+            host, path = (host or "").translate(_LOWER), path or ""
             at = hosts.setdefault(reversed_key(host), {})
-            # Of rules with the same host and path, the blocking one holds.
-            if path not in at or verdict == BLOCK:
+            if path not in at or verdict > at[path][3]:
                 at[path] = (len(host) + len(path), len(host), host + path, verdict)
         self.keys = sorted(hosts)
         self.rules = []
@@ -99,28 +108,79 @@ def _sweep(batches: Iterator[pa.RecordBatch], rules: list[tuple[str, str, str]],
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW) -> DataFrame:
     """A row for each page: its id, host, path, rule (host and path of the one that decides, else null) and verdict.
 
-    A null url, or one without `://`, has an empty host and path and gets the default.  An empty rule host fits every host, the empty one too.
+    A null url, or one without `://`, has an empty host and path.  Where no rule fits the verdict is the default.  Repeated rows and null ids are judged
+    like others; columns besides the two are not read.
     """
     out = pages.select(F.col(id_col), host_of(F.col(url_col).cast("string")).alias("host"), path_of(F.col(url_col).cast("string")).alias("path"))
-    if isinstance(rules, DataFrame):
-        found = [tuple(r) for r in rules.select("host", "path", "verdict").limit(MAX_BROADCAST + 1).collect()]
-        if len(found) > MAX_BROADCAST:
-            return _by_join(out, rules, default)
-        rules = found
     key = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "."), F.lit(".")))
+    urls = out.withColumn("__key", key)
     schema = T.StructType([*out.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return out.withColumn("__key", key).sortWithinPartitions("__key", "path").mapInArrow(lambda b: _sweep(b, rules, default), schema)
-
-
-def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For any number of rules: each url meets the rules of its own and all higher hosts, and keeps the best that fits."""
-    rules = rules.select(F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), "verdict")
-    rules = rules.groupBy("rh", "rp").agg(F.max("verdict").alias("rv"))
-    names = F.split("host", r"\.", -1)
-    above = F.array_append(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), ".")), F.lit(""))
-    urls = urls.withColumn("__row", F.monotonically_increasing_id())
-    met = urls.select("__row", "path", F.explode(F.array_distinct(above)).alias("rh")).join(rules, "rh").where(F.col("path").startswith(F.col("rp")))
-    size = F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"))
-    best = met.groupBy("__row").agg(F.max_by(F.struct(F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict")), size).alias("best"))
-    out = urls.join(best, "__row", "left")
-    return out.select(*[c for c in urls.columns if c != "__row"], F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    some = rules[: MAX_BROADCAST + 1] if isinstance(rules, list) else [tuple(r) for r in rules.select("host", "path", "verdict").limit(MAX_BROADCAST + 1).collect()]
+    if len(some) > MAX_BROADCAST:
+        table = pages.sparkSession.createDataFrame(rules, RULE_SCHEMA) if isinstance(rules, list) else rules.select("host", "path", "verdict")
+        return _by_ranges(urls, table, default, schema)
+    return urls.sortWithinPartitions("__key", "path").mapInArrow(lambda b: _sweep(b, some, default), schema)
+
+
+class Ranges:
+    """Ranges of keys, each with as many places as the sampled keys that end it are many."""
+
+    def __init__(self, sample: list[str], places: int):
+        sample = sorted(sample)
+        ends = [sample[k * len(sample) // places] for k in range(1, places)] if sample else []
+        self.ends = sorted(set(ends))
+        many = [ends.count(e) for e in self.ends] + [1]
+        self.first = [sum(many[:k]) for k in range(len(many) + 1)]
+
+    def of_url(self, key: str, salt: int) -> int:
+        k = bisect_left(self.ends, key)
+        return self.first[k] + salt % (self.first[k + 1] - self.first[k])
+
+    def of_rule(self, key: str) -> range:
+        """All places of the ranges that the interval of a key and what lies under it meets."""
+        return range(self.first[bisect_left(self.ends, key)], self.first[bisect_left(self.ends, key + chr(0x10FFFF)) + 1])
+
+
+def _by_ranges(urls: DataFrame, rules: DataFrame, default: str, schema: T.StructType) -> DataFrame:
+    """The same sweep for any number of rules."""
+    spark, (id_name, id_type) = urls.sparkSession, (urls.columns[0], urls.schema[0].dataType.simpleString())
+    n_urls, n_rules = urls.count(), rules.count()
+    places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rules // RANGE_RULES))
+    sample = urls.select("__key").sample(min(1.0, SAMPLED * places / max(n_urls, 1)), 7).toArrow().column(0).to_pylist()
+    box = spark.sparkContext.broadcast(Ranges(sample, places))
+    row = f"place int, kind int, __key string, path string, host string, verdict string, id {id_type}"
+
+    def deal_urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, host, path, key, salt in (b.columns for b in batches):
+            at = [box.value.of_url(k, s) for k, s in zip(key.to_pylist(), salt.to_pylist(), strict=True)]
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([1] * n, pa.int32()), key, path, host, pa.nulls(n, pa.string()), ids], names=names)
+
+    def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, 0, k, path or "", host or "", verdict) for host, path, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in [reversed_key((host or "").translate(_LOWER))] for p in box.value.of_rule(k)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int32(), pa.int32()] + [pa.string()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.nulls(len(rows), id_kind)], names=names)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, known, at = None, [], None
+        for batch in batches:
+            out = []
+            for p, kind, key, path, host, verdict, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != place:
+                    place, known, at = p, [], None
+                if not kind:
+                    known.append((host, path, verdict))
+                    continue
+                at = at or RuleSweep(known)
+                hit = at.find(key, path)
+                out.append((i, host, path, hit and hit[2], hit[3] if hit else default))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_kind), *(pa.array(c, pa.string()) for c in cols[1:])], names=schema.names)
+
+    names = [x.split()[0] for x in row.split(", ")]
+    id_kind = to_arrow_type(urls.schema[0].dataType)
+    salt = F.pmod(F.xxhash64(F.col(id_name), F.col("path")), F.lit(1 << 30)).alias("salt")
+    both = urls.select(id_name, "host", "path", "__key", salt).mapInArrow(deal_urls, row).unionByName(rules.where("verdict is not null").mapInArrow(deal_rules, row))
+    return both.repartition(places, "place").sortWithinPartitions("place", "kind", "__key", "path").mapInArrow(sweep, schema)
