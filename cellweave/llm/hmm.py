@@ -9,14 +9,15 @@ documents only, from all of them:
   classes by its last bytes.  Within its class a word has probability (c + 0.5) / (sum of c + 0.5 over the class + s + 0.5), and a word never seen
   (s + 0.5) / (same), s being how many of the class's words were seen once.  So the model is a proper one over
   all words, while its parameters are of a fixed size.
-* *Baum-Welch.*  Starting from a model fitted to a bounded sample, each iteration runs the scaled forward-backward recursion over all
-  training documents; expected counts are summed within each task and then, in blocks of symbols, across partitions in two steps; only the
-  model, of fixed size, reaches the driver.
+* *Baum-Welch.*  The model starts from the symbols' shares in all training documents times seeded noise, which makes the states differ.  Each
+  iteration runs the scaled forward-backward recursion over all training documents, whole ones; expected counts are summed within each task and
+  then, in blocks of symbols, across partitions in two steps; only the model, of fixed size, reaches the driver.
 * *Scores.*  The scaled forward recursion gives the exact likelihood of each whole text's symbols, to which the within-class
   probabilities of its words are added.
 
 The counts of the KNOWN most frequent words are broadcast (a bounded table); the rest of a text's words, a few in a
-hundred, meet their counts in a join.  Texts are encoded once; later passes read two bytes a token.
+hundred, meet their counts in a join.  Texts are encoded once; later passes read two bytes a token.  A recursion holds some hundred bytes for each of
+about BATCH_TOKENS tokens; a text longer than STRETCH goes in stretches, from states kept at their edges, with the same result.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ from pyspark.sql import functions as F
 from cellweave.llm.session import Scratch, id_and_text, list_array
 from cellweave.llm.words import Words, slices, text_buffer, words_of
 
-STATES, ITERATIONS, SAMPLE_DOCS, SAMPLE_ITERATIONS = 8, 2, 1500, 20
-OWN, CLASSES, KNOWN = 12_000, 256, 1 << 20
+STATES, ITERATIONS, SEED = 8, 10, 5
+OWN, CLASSES, KNOWN = 12_000, 256, 1 << 18
 END = OWN + CLASSES
 SYMBOLS = OWN + CLASSES + 1
 #: Share of each state's emissions that follows the base, so that no symbol is impossible.
 SMOOTH = 0.01
-#: Tokens that one recursion handles, entries that a task's counts hold, symbols in a block of counts.
-BATCH_TOKENS, HELD_WORDS, BLOCK = 1_000_000, 400_000, 512
+#: Tokens that one recursion handles, tokens of a long text that it does, entries that a task's counts hold, symbols in a block of counts.
+BATCH_TOKENS, STRETCH, HELD_WORDS, BLOCK = 500_000, 1 << 18, 400_000, 512
+#: Steps after which a recursion is scaled again.  Emissions are taken over the symbols' shares, so they stay near one in between.
+SCALED = 2
 #: Tasks whose counts are added up in the first of two steps.
 FAN_IN = 64
 LOG10 = float(np.log(10))
@@ -156,74 +159,156 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # symbols x states
+    base: np.ndarray  # each symbol's share
 
     @classmethod
     def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, base: np.ndarray) -> Model:
         start, move = start + 1, move + 1
         share = emit / np.maximum(emit.sum(axis=0), 1e-300)
         share = (1 - SMOOTH) * share + SMOOTH * base[:, None]
-        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), np.ascontiguousarray(share / share.sum(axis=0)))
+        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), share / share.sum(axis=0), base)
+
+    @classmethod
+    def first(cls, base: np.ndarray, states: int = STATES, seed: int = SEED) -> Model:
+        """Shares times noise, and states that last."""
+        noise = np.random.default_rng(seed).exponential(size=(len(base), states))
+        return cls.from_counts(np.zeros(states), 30 * np.eye(states), base[:, None] * noise, base)
+
+    def ratios(self, kind: type) -> np.ndarray:
+        """Emissions over the symbols' shares; a symbol without a share occurs nowhere."""
+        return (self.emit / np.where(self.base > 0, self.base, 1)[:, None]).astype(kind)
+
+    def log_base(self) -> np.ndarray:
+        return np.log(np.where(self.base > 0, self.base, 1))
 
 
 class Recursion:
-    """Scaled forward (and backward) recursion of many texts at once: step t handles all texts longer than t."""
+    """Scaled forward and backward recursion of many texts at once: step t handles all texts longer than t.
 
-    def __init__(self, model: Model, texts: list[np.ndarray]):
+    Rows lie step by step, the longest text first.  enter: for each text the chances of its first state (else the model's start), leave: for each
+    text what follows its last state (else nothing).
+    """
+
+    def __init__(self, model: Model, texts: list[np.ndarray], kind: type = np.float64, ratios: np.ndarray | None = None, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
         sizes = np.array([len(t) for t in texts])
         self.order = np.argsort(-sizes, kind="stable")
         self.sizes = sizes[self.order]
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([texts[k] for k in self.order]) if len(texts) else np.zeros(0, np.uint16)
-        self.live = np.searchsorted(-self.sizes, -np.arange(1, int(self.sizes[0]) + 1), side="right").tolist() if len(texts) else []
-        self.model = model
+        self.model, self.kind, self.leave = model, kind, leave if leave is None else leave[self.order]
+        live = np.searchsorted(-self.sizes, -np.arange(1, self.sizes[0] + 1), side="right")
+        at = np.r_[0, np.cumsum(live)]
+        self.live, self.at = live.tolist(), at.tolist()
+        rank = np.repeat(np.arange(len(sizes)), self.sizes)
+        step = np.arange(len(rank)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.symbols = np.empty(len(rank), np.int64)
+        self.symbols[at[step] + rank] = np.concatenate([texts[k] for k in self.order])
+        self.last = at[self.sizes - 1] + np.arange(len(sizes))
+        self.followed = np.arange(len(rank)) - np.repeat(at[:-1], live) < np.repeat(np.r_[live[1:], 0], live)
+        self.enter = np.broadcast_to(model.start, (len(sizes), len(model.start))) if enter is None else enter[self.order]
+        self.emit = (model.ratios(kind) if ratios is None else ratios)[self.symbols]
+
+    def forward(self) -> None:
+        """Fills alpha, and logs, the logarithm of each text's likelihood over its symbols' shares."""
+        live, at, emit, move = self.live, self.at, self.emit, self.model.move.astype(self.kind)
+        alpha, logs = np.empty_like(emit), np.zeros(len(self.sizes))
+        now = alpha[: live[0]]
+        np.multiply(emit[: live[0]], self.enter, out=now, casting="same_kind")
+        for t in range(1, len(live)):
+            n, before = live[t], now
+            now = alpha[at[t] : at[t + 1]]
+            np.matmul(before[:n], move, out=now)
+            now *= emit[at[t] : at[t + 1]]
+            if t % SCALED == 0:
+                scale = now.sum(axis=1)
+                now /= scale[:, None]
+                logs[:n] += np.log(scale)
+        self.alpha = alpha
+        self.logs = logs + np.log(alpha[self.last].sum(axis=1, dtype=np.float64))
 
     def log_likelihoods(self) -> np.ndarray:
         """Natural logarithms, in the given order; exact but for rounding."""
-        total, a = np.zeros(len(self.sizes)), None
-        for t, n in enumerate(self.live):
-            a = (np.broadcast_to(self.model.start, (n, len(self.model.start))) if t == 0 else a[:n] @ self.model.move) * self.model.emit[self.flat[self.starts[:n] + t]]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            total[:n] += np.log(scale)
-        out = np.empty(len(total))
-        out[self.order] = total
+        self.forward()
+        out = np.empty(len(self.logs))
+        out[self.order] = self.logs
         return out
 
+    def ends(self) -> np.ndarray:
+        """Chances of the last state of each text, in the given order."""
+        out = np.empty((len(self.sizes), len(self.model.start)))
+        out[self.order] = self.alpha[self.last]
+        return out / out.sum(axis=1, keepdims=True)
+
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of starts, moves and emissions, and the log likelihood."""
-        m, states = self.model, len(self.model.start)
-        alpha, scales = np.empty((len(self.flat), states)), np.empty(len(self.flat))
-        a = None
-        for t, n in enumerate(self.live):
-            at = self.starts[:n] + t
-            a = (np.broadcast_to(m.start, (n, states)) if t == 0 else a[:n] @ m.move) * m.emit[self.flat[at]]
-            s = a.sum(axis=1)
-            a /= s[:, None]
-            alpha[at], scales[at] = a, s
-        gamma, move = np.empty_like(alpha), np.zeros((states, states))
-        b = np.zeros((0, states))
-        for t in range(len(self.live) - 1, -1, -1):
-            n, at = self.live[t], self.starts[: self.live[t]] + t
-            later = len(b)
-            now = np.ones((n, states))
-            if later:
-                ahead = b * m.emit[self.flat[at[:later] + 1]] / scales[at[:later] + 1, None]
-                move += alpha[at[:later]].T @ ahead
-                now[:later] = ahead @ m.move.T
-            b = now
-            gamma[at] = alpha[at] * b
-        emit = np.stack([np.bincount(self.flat, gamma[:, z], SYMBOLS) for z in range(states)], axis=1)
-        return gamma[self.starts].sum(axis=0), move * m.move, emit, float(np.log(scales).sum())
+        """Expected counts of starts, moves and emissions, and the log likelihood over the symbols' shares."""
+        self.forward()
+        live, at, back = self.live, self.at, np.ascontiguousarray(self.model.move.T).astype(self.kind)
+        beta, ahead = np.empty_like(self.emit), self.emit  # emissions become beta times emission
+        ones = np.ones((len(self.sizes), len(back)), self.kind) if self.leave is None else self.leave.astype(self.kind)
+        now = beta[at[-2] :]
+        now[:] = ones[: len(now)]
+        for t in range(len(live) - 2, -1, -1):
+            n, then = live[t + 1], ahead[at[t + 1] : at[t + 2]]
+            then *= now
+            now = beta[at[t] : at[t + 1]]
+            np.matmul(then, back, out=now[:n])
+            if t % SCALED == 0:
+                scale = now[:n].sum(axis=1)[:, None]
+                now[:n] /= scale
+                then /= scale
+            now[n:] = ones[n : live[t]]
+        self.first_ahead = ahead[: live[0]] * now
+        beta *= self.alpha
+        total = beta.sum(axis=1)[:, None]
+        move = (self.alpha[self.followed] / total[self.followed]).T @ ahead[live[0] :]
+        beta /= total
+        emit = np.stack([np.bincount(self.symbols, beta[:, z], SYMBOLS) for z in range(len(back))], axis=1)
+        return beta[: live[0]].sum(axis=0, dtype=np.float64), move.astype(np.float64) * self.model.move, emit, float(self.logs.sum())
+
+
+def in_stretches(model: Model, text: np.ndarray, kind: type = np.float64, ratios: np.ndarray | None = None, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Recursion.expected() of one text, holding the rows of one stretch at a time."""
+    parts = [text[k : k + (size or STRETCH)] for k in range(0, len(text), size or STRETCH)]
+    enter, ends, fit = [model.start[None]], [], 0.0
+    for part in parts:
+        r = Recursion(model, [part], kind, ratios, enter[-1])
+        r.forward()
+        fit += float(r.logs.sum())
+        ends.append(r.ends())
+        enter.append(ends[-1] @ model.move)
+    move, emit, leave = np.zeros_like(model.move), np.zeros_like(model.emit), None
+    for k in range(len(parts) - 1, -1, -1):
+        r = Recursion(model, [parts[k]], kind, ratios, enter[k], leave)
+        start, m, e, _ = r.expected()
+        move, emit = move + m, emit + e
+        if k:
+            over = ends[k - 1].T * model.move * r.first_ahead
+            move += over / over.sum()
+            leave = r.first_ahead @ model.move.T
+            leave = leave / leave.sum()
+    return start, move, emit, fit
+
+
+def log_likelihood(model: Model, text: np.ndarray, size: int = 0) -> float:
+    """Natural logarithm of one text's likelihood over its symbols' shares, stretch by stretch."""
+    enter, total = model.start[None], 0.0
+    for k in range(0, len(text), size or STRETCH):
+        r = Recursion(model, [text[k : k + (size or STRETCH)]], enter=enter)
+        total += float(r.log_likelihoods()[0])
+        enter = r.ends() @ model.move
+    return total
 
 
 def _pools(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Group rows whose last value is a text's symbols into batches of texts of like length."""
+    """Group rows whose last value is a text's symbols into batches of texts of like length; a text longer than STRETCH is alone."""
     held: dict[int, list] = {}
     size: dict[int, int] = {}
     for row in rows:
-        k = len(row[-1]).bit_length() // 2
+        n = len(row[-1])
+        if n > STRETCH:
+            yield [row]
+            continue
+        k = (2 * n).bit_length() // 2
         held.setdefault(k, []).append(row)
-        size[k] = size.get(k, 0) + len(row[-1])
+        size[k] = size.get(k, 0) + n
         if size[k] >= BATCH_TOKENS:
             yield held.pop(k)
             del size[k]
@@ -241,8 +326,10 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     """Symbols -> expected counts of the task: block -1 holds likelihood, starts and moves, the others emissions of BLOCK symbols each."""
     states = len(model.start)
     start, move, emit, fit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states)), 0.0
+    ratios = model.ratios(np.float32)
     for pool in _pools(_texts(batches)):
-        s, m, e, f = Recursion(model, [r[-1] for r in pool]).expected()
+        texts = [r[-1] for r in pool]
+        s, m, e, f = in_stretches(model, texts[0], np.float32, ratios) if len(texts[0]) > STRETCH else Recursion(model, texts, np.float32, ratios).expected()
         start, move, emit, fit = start + s, move + m, emit + e, fit + f
     blobs = [np.r_[fit, start, move.ravel()].tobytes(), *(emit[k : k + BLOCK].tobytes() for k in range(0, SYMBOLS, BLOCK))]
     team = (TaskContext.get().partitionId() if TaskContext.get() else 0) // FAN_IN
@@ -261,25 +348,14 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "team", "counts"])
 
 
-def first_model(texts: list[np.ndarray], base: np.ndarray, states: int = STATES, iterations: int = SAMPLE_ITERATIONS) -> Model:
-    """A start for Baum-Welch: random responsibilities for the texts of a sample, then iterations over it."""
-    rng = np.random.default_rng(23)
-    emit = np.zeros((SYMBOLS, states))
-    for t in texts:
-        z = rng.integers(states)
-        emit[:, z] += np.bincount(t, minlength=SYMBOLS) if len(t) < 4096 else np.bincount(t[:4096], minlength=SYMBOLS)
-    emit += 0.1 * emit.mean(axis=1, keepdims=True)
-    model = Model.from_counts(np.ones(states), 30 * np.eye(states) + 1, emit, base)
-    for _ in range(iterations if texts else 0):
-        s, m, e, _ = Recursion(model, texts).expected()
-        model = Model.from_counts(s, m, e, base)
-    return model
-
-
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(row, symbols) -> (row, log10 probability of the symbols)"""
+    ratios, log_base = model.ratios(np.float64), model.log_base()
     for pool in _pools(_texts(batches, 1)):
-        ll = Recursion(model, [r[-1] for r in pool]).log_likelihoods() / LOG10
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in pool], pa.int64()), pa.array(ll)], names=["row", "markov"])
+        texts = [r[-1] for r in pool]
+        ll = np.array([log_likelihood(model, texts[0])]) if len(texts[0]) > STRETCH else Recursion(model, texts, ratios=ratios).log_likelihoods()
+        own = np.array([log_base[t].sum() for t in texts])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in pool], pa.int64()), pa.array((ll + own) / LOG10)], names=["row", "markov"])
 
 
 class MarkovScorer:
@@ -314,9 +390,10 @@ class MarkovScorer:
         return Lexicon(h.view(np.uint64)[order], c[order], symbols[order], docs, total, distinct, mass + once + 0.5, once), words
 
     def scores(self) -> DataFrame:
-        """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+        """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-        A null text has its end token only.  A null id is never held out.
+        A null text has its end token only.  A null id is never held out.  Without training documents every word is as likely as its class
+        makes it, and base_score is what the formula gives for N = 0.
         """
         sc = self.spark.sparkContext
         with Scratch(self.spark) as tmp:
@@ -341,20 +418,18 @@ class MarkovScorer:
             own = lexicon.symbols >= 0
             base[lexicon.symbols[own]], base[OWN:END], base[END] = lexicon.counts[own] + 0.5, lexicon.mass, lexicon.docs + 0.5
             base /= base.sum()
-            share = max(1, lexicon.docs // (2 * SAMPLE_DOCS))
-            sample = encoded.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("doc_id", "row", F.expr("substring(symbols, 1, 4000)").alias("symbols"))
-            sample = sample.orderBy(F.xxhash64("doc_id"), "row").limit(SAMPLE_DOCS).select("symbols").toArrow().column(0)
-            model = first_model([np.frombuffer(x.as_py(), np.uint16) for x in sample], base, self.states)
+            model = Model.first(base, self.states)
             for _ in range(self.iterations):
                 held = sc.broadcast(model)
                 parts = train.mapInArrow(lambda b, held=held: _expect(b, held.value), _COUNTS)
                 some = parts.repartition("block", "team").mapInArrow(_add_up, _COUNTS).withColumn("team", F.lit(0))
                 summed = some.repartition(-(-SYMBOLS // BLOCK) + 1, "block").mapInArrow(_add_up, _COUNTS).collect()
+                held.destroy()
                 got = {r.block: np.frombuffer(r.counts) for r in summed}
                 s = self.states
                 if got:
-                    self.history.append(float(got[-1][0]))
                     emit = np.concatenate([got[k] for k in range(len(got) - 1)]).reshape(SYMBOLS, s)
+                    self.history.append(float(got[-1][0] + emit.sum(axis=1) @ model.log_base()))
                     model = Model.from_counts(got[-1][1 : s + 1], got[-1][s + 1 :].reshape(s, s), emit, base)
             self.model, self.lexicon = model, lexicon
             held = sc.broadcast(model)
