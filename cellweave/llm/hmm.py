@@ -42,8 +42,8 @@ SYMBOLS = OWN + CLASSES + 1
 SMOOTH = 0.01
 #: Tokens that one recursion handles, tokens of a long text that it does, entries that a task's counts hold, symbols in a block of counts.
 BATCH_TOKENS, STRETCH, HELD_WORDS, BLOCK = 500_000, 1 << 18, 400_000, 512
-#: Steps after which a recursion is scaled again.  Emissions are taken over the symbols' shares, so they stay near one in between.
-SCALED = 2
+#: Steps after which a recursion is scaled again, at most.  Emissions are taken over the symbols' shares, so they stay near one in between.
+SCALED = 8
 #: Tasks whose counts are added up in the first of two steps.
 FAN_IN = 64
 LOG10 = float(np.log(10))
@@ -178,6 +178,11 @@ class Model:
         """Emissions over the symbols' shares; a symbol without a share occurs nowhere."""
         return (self.emit / np.where(self.base > 0, self.base, 1)[:, None]).astype(kind)
 
+    def steps(self, kind: type) -> int:
+        """Steps without scaling in which alpha times beta stays in the range of numbers."""
+        largest = float(np.log10(max(self.ratios(kind).max(initial=1), 10)))
+        return int(np.clip(np.log10(np.finfo(kind).max) / 2 / largest - 1, 1, SCALED))
+
     def log_base(self) -> np.ndarray:
         return np.log(np.where(self.base > 0, self.base, 1))
 
@@ -189,7 +194,7 @@ class Recursion:
     text what follows its last state (else nothing).
     """
 
-    def __init__(self, model: Model, texts: list[np.ndarray], kind: type = np.float64, ratios: np.ndarray | None = None, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
+    def __init__(self, model: Model, texts: list[np.ndarray], kind: type = np.float64, ratios: np.ndarray | None = None, enter: np.ndarray | None = None, leave: np.ndarray | None = None, scaled: int | None = None):
         sizes = np.array([len(t) for t in texts])
         self.order = np.argsort(-sizes, kind="stable")
         self.sizes = sizes[self.order]
@@ -205,6 +210,7 @@ class Recursion:
         self.followed = np.arange(len(rank)) - np.repeat(at[:-1], live) < np.repeat(np.r_[live[1:], 0], live)
         self.enter = np.broadcast_to(model.start, (len(sizes), len(model.start))) if enter is None else enter[self.order]
         self.emit = (model.ratios(kind) if ratios is None else ratios)[self.symbols]
+        self.scaled = model.steps(kind) if scaled is None else scaled
 
     def forward(self) -> None:
         """Fills alpha, and logs, the logarithm of each text's likelihood over its symbols' shares."""
@@ -217,7 +223,7 @@ class Recursion:
             now = alpha[at[t] : at[t + 1]]
             np.matmul(before[:n], move, out=now)
             now *= emit[at[t] : at[t + 1]]
-            if t % SCALED == 0:
+            if t % self.scaled == 0:
                 scale = now.sum(axis=1)
                 now /= scale[:, None]
                 logs[:n] += np.log(scale)
@@ -250,7 +256,7 @@ class Recursion:
             then *= now
             now = beta[at[t] : at[t + 1]]
             np.matmul(then, back, out=now[:n])
-            if t % SCALED == 0:
+            if t % self.scaled == 0:
                 scale = now[:n].sum(axis=1)[:, None]
                 now[:n] /= scale
                 then /= scale
@@ -264,19 +270,19 @@ class Recursion:
         return beta[: live[0]].sum(axis=0, dtype=np.float64), move.astype(np.float64) * self.model.move, emit, float(self.logs.sum())
 
 
-def in_stretches(model: Model, text: np.ndarray, kind: type = np.float64, ratios: np.ndarray | None = None, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def in_stretches(model: Model, text: np.ndarray, kind: type = np.float64, ratios: np.ndarray | None = None, scaled: int | None = None, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Recursion.expected() of one text, holding the rows of one stretch at a time."""
     parts = [text[k : k + (size or STRETCH)] for k in range(0, len(text), size or STRETCH)]
     enter, ends, fit = [model.start[None]], [], 0.0
     for part in parts:
-        r = Recursion(model, [part], kind, ratios, enter[-1])
+        r = Recursion(model, [part], kind, ratios, enter[-1], scaled=scaled)
         r.forward()
         fit += float(r.logs.sum())
         ends.append(r.ends())
         enter.append(ends[-1] @ model.move)
     move, emit, leave = np.zeros_like(model.move), np.zeros_like(model.emit), None
     for k in range(len(parts) - 1, -1, -1):
-        r = Recursion(model, [parts[k]], kind, ratios, enter[k], leave)
+        r = Recursion(model, [parts[k]], kind, ratios, enter[k], leave, scaled)
         start, m, e, _ = r.expected()
         move, emit = move + m, emit + e
         if k:
@@ -298,7 +304,7 @@ def log_likelihood(model: Model, text: np.ndarray, size: int = 0) -> float:
 
 
 def _pools(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Group rows whose last value is a text's symbols into batches of texts of like length; a text longer than STRETCH is alone."""
+    """Group rows whose last value is a text's symbols into batches, of texts of like length but for the last few; a text longer than STRETCH is alone."""
     held: dict[int, list] = {}
     size: dict[int, int] = {}
     for row in rows:
@@ -312,7 +318,14 @@ def _pools(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         if size[k] >= BATCH_TOKENS:
             yield held.pop(k)
             del size[k]
-    yield from held.values()
+    rest, n = [], 0
+    for k in sorted(held, reverse=True):
+        rest, n = rest + held[k], n + size[k]
+        if n >= BATCH_TOKENS:
+            yield rest
+            rest, n = [], 0
+    if rest:
+        yield rest
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple]:
@@ -326,10 +339,10 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     """Symbols -> expected counts of the task: block -1 holds likelihood, starts and moves, the others emissions of BLOCK symbols each."""
     states = len(model.start)
     start, move, emit, fit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states)), 0.0
-    ratios = model.ratios(np.float32)
+    ratios, scaled = model.ratios(np.float32), model.steps(np.float32)
     for pool in _pools(_texts(batches)):
         texts = [r[-1] for r in pool]
-        s, m, e, f = in_stretches(model, texts[0], np.float32, ratios) if len(texts[0]) > STRETCH else Recursion(model, texts, np.float32, ratios).expected()
+        s, m, e, f = in_stretches(model, texts[0], np.float32, ratios, scaled) if len(texts[0]) > STRETCH else Recursion(model, texts, np.float32, ratios, scaled=scaled).expected()
         start, move, emit, fit = start + s, move + m, emit + e, fit + f
     blobs = [np.r_[fit, start, move.ravel()].tobytes(), *(emit[k : k + BLOCK].tobytes() for k in range(0, SYMBOLS, BLOCK))]
     team = (TaskContext.get().partitionId() if TaskContext.get() else 0) // FAN_IN
@@ -350,10 +363,10 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """(row, symbols) -> (row, log10 probability of the symbols)"""
-    ratios, log_base = model.ratios(np.float64), model.log_base()
+    ratios, scaled, log_base = model.ratios(np.float64), model.steps(np.float64), model.log_base()
     for pool in _pools(_texts(batches, 1)):
         texts = [r[-1] for r in pool]
-        ll = np.array([log_likelihood(model, texts[0])]) if len(texts[0]) > STRETCH else Recursion(model, texts, ratios=ratios).log_likelihoods()
+        ll = np.array([log_likelihood(model, texts[0])]) if len(texts[0]) > STRETCH else Recursion(model, texts, ratios=ratios, scaled=scaled).log_likelihoods()
         own = np.array([log_base[t].sum() for t in texts])
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in pool], pa.int64()), pa.array((ll + own) / LOG10)], names=["row", "markov"])
 
@@ -418,12 +431,14 @@ class MarkovScorer:
             own = lexicon.symbols >= 0
             base[lexicon.symbols[own]], base[OWN:END], base[END] = lexicon.counts[own] + 0.5, lexicon.mass, lexicon.docs + 0.5
             base /= base.sum()
-            model = Model.first(base, self.states)
+            model, tasks = Model.first(base, self.states), train.rdd.getNumPartitions()
             for _ in range(self.iterations):
                 held = sc.broadcast(model)
                 parts = train.mapInArrow(lambda b, held=held: _expect(b, held.value), _COUNTS)
-                some = parts.repartition("block", "team").mapInArrow(_add_up, _COUNTS).withColumn("team", F.lit(0))
-                summed = some.repartition(-(-SYMBOLS // BLOCK) + 1, "block").mapInArrow(_add_up, _COUNTS).collect()
+                summed = parts.repartition("block", "team").mapInArrow(_add_up, _COUNTS)
+                if tasks > FAN_IN:
+                    summed = summed.withColumn("team", F.lit(0)).repartition("block").mapInArrow(_add_up, _COUNTS)
+                summed = summed.collect()
                 held.destroy()
                 got = {r.block: np.frombuffer(r.counts) for r in summed}
                 s = self.states
