@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.session import id_and_text
+from cellweave.llm.session import id_and_text, small_batches
 from cellweave.llm.words import Words, mix, slices, text_buffer, valid_windows, window_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -243,41 +244,51 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, weights: Weights |
             )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item with a hit, at its best window: of those most similar (to nine places) the first.
-
-    Items without words and rows with null texts hit nothing; ids, null ones and repeated ones too, are passed on as they are, a row for each row.
-    """
-    spark = docs.sparkSession
-    source = id_and_text(docs, id_col, text_col)
+def _rounds(benchmark: DataFrame, item_col: str, item_text: str) -> list[tuple[Broadcast, Broadcast | None]]:
+    """The items in rounds of bounded size, and the weights of the whole benchmark where there are several."""
+    spark = benchmark.sparkSession
     out, held, size, weights = [], [], 0, None
-
-    def flush() -> None:
-        nonlocal held, size
-        if held:
-            box = spark.sparkContext.broadcast(Items(held, weights and weights.value))
-            out.append(source.mapInArrow(lambda batches, weights=weights: _search(batches, box.value, weights and weights.value), SCHEMA))
-        held, size = [], 0
-
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
         n = len((row[1] or "").encode().translate(None, b" \t\n\v\f\r")) and len(row[1].split()) + 1
         if n:
             if size >= ROUND_WORDS:
                 # More than one round: weights are those of the whole benchmark in each.
                 weights = weights or spark.sparkContext.broadcast(_weights(benchmark.select(F.col(item_text).cast("string"))))
-                flush()
+                out.append((spark.sparkContext.broadcast(Items(held, weights.value)), weights))
+                held, size = [], 0
             held.append((row[0], row[1]))
             size += n + ITEM
-    flush()
-    if not out:
+    if held:
+        out.append((spark.sparkContext.broadcast(Items(held, weights and weights.value)), weights))
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item with a hit, at its best window: of those most similar (to nine places) the first.
+
+    Items without words and rows with null texts hit nothing; ids, null ones and repeated ones too, are passed on as they are, a row for each row.
+    """
+    source, result = id_and_text(docs, id_col, text_col), None
+    for items, weights in _rounds(benchmark, item_col, item_text):
+        found = source.mapInArrow(lambda batches, items=items, weights=weights: _search(batches, items.value, weights and weights.value), SCHEMA)
+        result = found if result is None else result.unionByName(found)
+    if result is None:
         return source.where("false").select("doc_id", *(F.lit(0).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", ")[1:])))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
     return result
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a hit.  Rows with a null id stay."""
-    hits = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(hits, id_col, "left_anti")
+def _clean(batches: Iterator[pa.RecordBatch], text_col: str, items: Items, weights: Weights | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.names.index(text_col)
+        for part in slices(batch, text_col):
+            keep = np.ones(part.num_rows, bool)
+            keep[items.search(words_of(*text_buffer(part.column(at))), weights)[0]] = False
+            yield part.filter(pa.array(keep))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without a hit, as they are; each is judged by its own text, whatever its id.  Documents are read once, whatever the rounds, and not shuffled."""
+    small_batches(docs.sparkSession)
+    for items, weights in _rounds(benchmark, item_col, item_text):
+        docs = docs.mapInArrow(lambda batches, items=items, weights=weights: _clean(batches, text_col, items.value, weights and weights.value), docs.schema)
+    return docs

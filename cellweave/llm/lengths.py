@@ -31,7 +31,11 @@ def _count(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.R
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """n_tokens, n_docs: how many documents have each encoded length; null and empty texts have 0 tokens."""
+    """n_tokens, n_docs: how many documents have each encoded length; null and empty texts have 0 tokens.
+
+    Each row counts, repeated ones too; texts of equal length share a row.  Only the text is read, so other columns may have any names.  A very long
+    text is encoded as a whole, with some ten bytes for each of its tokens.
+    """
     small_batches(docs.sparkSession)
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b: _count(b, path), "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
@@ -65,6 +69,7 @@ def with_sums(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """length_histogram() with_sums(); no rows for an empty table."""
     with Scratch(docs.sparkSession) as tmp:
         return tmp.keep(with_sums(tmp.table(length_histogram(docs, text_col, path), "lengths")), "counts")
 

@@ -84,7 +84,10 @@ def test_edges(spark):
     item = spark.createDataFrame([(7, "a b c d e f g")], "item_id long, text string")
     rows = [(None, "x a b c d e f g"), (2, "x a b c d e f g"), (2, "x a b c d e f g"), (3, "x")]
     assert sorted(str(r.doc_id) for r in contaminated(frame(spark, rows), item).collect()) == ["2", "2", "None"]
-    assert [r.doc_id for r in uncontaminated(frame(spark, rows), item).orderBy("doc_id").collect()] == [None, 3]
+    assert [r.doc_id for r in uncontaminated(frame(spark, rows), item).collect()] == [3]
+    rows = [(2, "x a b c d e f g"), (2, "other words"), (None, "clean"), (None, None)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in uncontaminated(frame(spark, rows), item).collect()) == [("2", "other words"), ("None", "None"), ("None", "clean")]
+    assert uncontaminated(frame(spark, rows), none).count() == 4 and uncontaminated(frame(spark, []), item).count() == 0
 
 
 def test_shifted_passages(spark):
@@ -113,6 +116,8 @@ def test_rounds_change_nothing(spark, monkeypatch):
     for words_, some in ((200, items), (200, items[::-1]), (700, items)):
         monkeypatch.setattr(decontam, "ROUND_WORDS", words_)
         assert run(some) == whole
+        left = uncontaminated(frame(spark, rows), spark.createDataFrame(some, "item_id long, text string")).collect()
+        assert {r.doc_id for r in left} == {i for i, _ in rows} - {r[0] for r in whole}
 
 
 def test_index_lists_all_within_the_radius():
