@@ -231,19 +231,28 @@ def _locate(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Recor
 
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
-    """A row for each row of docs: doc_id, th (a hash of the text), n_words, n_removed, removed, kept_sha256, kept (with texts, where some words go but not all)."""
+    """A row for each row of docs: doc_id, th, n_words, n_removed, removed, kept_sha256, kept (with texts, where some words go but not all).
+
+    th is a hash of the text where the id is repeated, else 0, so that (doc_id, th) tells rows apart and costs next to nothing.
+    """
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     key = ["doc_id", "th"]
     with Scratch(spark) as tmp:
         seen = tmp.table(source.mapInArrow(_profile, "doc_id long, th long, n_words long, k1 long, k2 long, sha string, anchors array<long>"), "profile")
+        again = tmp.table(seen.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+        if again.isEmpty():
+            told = lambda df: df.withColumn("th", F.lit(0).cast("long"))
+        else:
+            told = lambda df: df.join(again.withColumn("__again", F.lit(True)), "doc_id", "left").withColumn("th", F.when(F.col("__again"), F.col("th")).otherwise(F.lit(0))).drop("__again")
         copies = tmp.table(seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
-        # Tables on both sides, so that the join can split a hot class.
-        later = tmp.table(seen.select(*key, "k1", "k2").join(copies, ["k1", "k2"]).where("doc_id > rep").select(key).distinct(), "later")
-        anchors = seen.where("size(anchors) > 0 and doc_id is not null").join(later, key, "left_anti").select(*key, F.explode("anchors").alias("anchor"))
+        # Tables on both sides, so that the join can split a hot class.  Repeated ids are not settled here: their rows may differ.
+        later = seen.select("doc_id", "k1", "k2").join(copies, ["k1", "k2"]).where("doc_id > rep").select("doc_id")
+        later = tmp.table(later.join(again, "doc_id", "left_anti"), "later")
+        anchors = seen.where("size(anchors) > 0 and doc_id is not null").join(later, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
         shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-        recurring = anchors.join(shared, "anchor").groupBy(key).agg(F.collect_list("anchor").alias("anchors"))
-        candidates = tmp.table(source.join(recurring, key).select("doc_id", "text", "th", "anchors"), "candidates")
+        recurring = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+        candidates = tmp.table(told(source.join(recurring, "doc_id")).select("doc_id", "text", "th", "anchors"), "candidates")
 
         windows = tmp.table(candidates.mapInArrow(_windows, "wh long, doc_id long, th long, pos long"), "windows")
         confirmed = windows.groupBy("wh").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("hi"), F.min_by("th", "doc_id").alias("sth"), F.min_by("pos", "doc_id").alias("at"))
@@ -265,7 +274,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
         located = tmp.table(rows.mapInArrow(lambda b: _locate(b, texts), _LOCATED), "located")
 
         whole = F.col("later") & (F.col("n_words") >= WINDOW)
-        rest = seen.drop("anchors").join(later.withColumn("later", F.lit(True)), key, "left").join(located.select(key).distinct(), key, "left_anti")
+        rest = told(seen.drop("anchors")).join(later.withColumn("later", F.lit(True)), "doc_id", "left").join(located.select(key).distinct(), key, "left_anti")
         rest = rest.select(
             *key,
             "n_words",
@@ -289,6 +298,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = _repeats(docs, id_col, text_col, True).where("n_removed > 0").dropDuplicates(["doc_id", "th"])
     found = found.select(F.col("doc_id").alias("__cut_id"), F.col("th").alias("__cut_th"), (F.col("n_removed") < F.col("n_words")).alias("__cut_some"), F.col("kept").alias("__cut_kept"))
-    same = (F.col(id_col).cast("long") == F.col("__cut_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__cut_th"))
+    same = (F.col(id_col).cast("long") == F.col("__cut_id")) & F.col("__cut_th").isin(F.lit(0), F.xxhash64(F.col(text_col).cast("string")))
     left = docs.join(found, same, "left").where("__cut_id is null or __cut_some")
     return left.withColumn(text_col, F.coalesce("__cut_kept", text_col)).select(docs.columns)
