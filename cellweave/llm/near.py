@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
-#: What one block of a cluster holds, about.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 1024
+#: What one block of a cluster holds, about, and shingles for one task.
+BLOCK_SHINGLES, BLOCK_DOCS, TASK_SHINGLES = 1_000_000, 1024, 400_000
 
 
 @lru_cache
@@ -284,9 +284,11 @@ def _near(docs: DataFrame, id_col: str, text_col: str, to_drop: bool) -> DataFra
         size = held.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
         held = held.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
         held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        held = held.select("doc_id", "copies", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "parts", "block")
+        held = held.select("doc_id", "copies", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "parts", "block", "n")
+        held = tmp.table(held, "held")
+        tasks = (held.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES + 1
         work = source.select("doc_id", "text").join(held, "doc_id").select("cluster", "i", "j", "parts", "block", "doc_id", "copies", "text")
-        work = work.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        work = work.repartition(min(tasks, 20000), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         found = tmp.table(work.mapInArrow(_unit, "doc_id long, links long, root long, whole boolean"), "links")
 
         groups = components(tmp, found.where("not whole").select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
