@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,15 +47,14 @@ def in_polygon(x: Column, y: Column, rings: list[list[tuple[float, float]]]) ->
     for ring in rings:
         closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
         edges += [(x0, y0, x1, y1) for (x0, y0), (x1, y1) in zip(closed, closed[1:]) if y0 != y1]
-    table = F.array(*[F.struct(*(F.lit(float(v)).alias(n) for v, n in zip(e, "abcd", strict=True))) for e in edges])
+    # One literal, however many edges a coastline has.
+    table = F.from_json(F.lit(json.dumps([dict(zip("abcd", map(float, e), strict=True)) for e in edges])), "array<struct<a: double, b: double, c: double, d: double>>")
     crossed = lambda e: ((e["b"] > y) != (e["d"] > y)) & (x < (e["c"] - e["a"]) * (y - e["b"]) / (e["d"] - e["b"]) + e["a"])
     return F.size(F.filter(table, crossed)) % 2 == 1
 
 
 def polygon_rings(geojson: str) -> list[list[tuple[float, float]]]:
     """Rings of a GeoJSON Polygon or MultiPolygon, bare or in a feature."""
-    import json
-
     g = json.loads(geojson)
     g = g.get("geometry", g)
     polygons = g["coordinates"] if g["type"] == "MultiPolygon" else [g["coordinates"]]

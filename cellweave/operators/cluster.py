@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.plans.store import Scratch
 
+#: Models trained at the same time, so that the small jobs of one fill the gaps of another.
+AT_ONCE = 4
+
 
 def k_values(low: int, high: int, step: int) -> list[int]:
     """A sweep: with low above high only high is tried; a step below 1 counts as 1."""
@@ -39,13 +46,17 @@ def sweep(matrix: DataFrame, ks: list[int], iterations: int, path: str | None =
     from pyspark import StorageLevel
 
     data = vectors(matrix).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+
+    def one(k: int) -> tuple[int, int, float]:
+        model, cost = train(data, k, iterations, seed)
+        if path:
+            model.write().overwrite().save(f"{path}/{k}")
+        return k, iterations, cost
+
     try:
-        for k in ks:
-            model, cost = train(data, k, iterations, seed)
-            rows.append((k, iterations, cost))
-            if path:
-                model.write().overwrite().save(f"{path}/{k}")
+        data.count()  # fill the cache once, before several models are trained at a time
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            rows = list(pool.map(one, ks))
     finally:
         data.unpersist()
     return matrix.sparkSession.createDataFrame(rows, "k int, iterations int, wssse double")
@@ -64,16 +75,27 @@ def predict(model: KMeansModel, matrix: DataFrame, *keys: str, coordinate: int |
     return out.withColumn("value", F.element_at(centres, F.col("cluster") + 1))
 
 
-def squared_distance(features: Column, centre: list[float]) -> Column:
-    c = F.array(*[F.lit(float(x)) for x in centre])
-    return F.aggregate(F.zip_with(features, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+def nearest(matrix: DataFrame, centres: list[list[float]], features: str = "features") -> DataFrame:
+    """(..., cluster, d2): the nearest of given centres, the lowest on ties.
 
-
-def nearest(matrix: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """(..., cluster, d2): the nearest of given centres, the lowest on ties.  Native expressions, nothing is shuffled."""
-    options = F.array(*[F.struct(squared_distance(F.col("features"), c).alias("d2"), F.lit(k).alias("cluster")) for k, c in enumerate(centres)])
-    out = matrix.withColumn("__best", F.array_min(options))
-    return out.select("*", F.col("__best.cluster").alias("cluster"), F.col("__best.d2").alias("d2")).drop("__best")
+    One product of each batch with the broadcast centres (as many numbers as clusters times years), whatever their number; nothing is shuffled.
+    The squared distance of the chosen centre is taken from the differences.
+    """
+    c = np.asarray(centres, np.float64)
+    box, at = matrix.sparkSession.sparkContext.broadcast(c), matrix.columns.index(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = box.value
+        for batch in batches:
+            x = np.asarray(batch.column(at).flatten(), np.float64).reshape(len(batch), c.shape[1])
+            far = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+            least = far.min(axis=1, keepdims=True, initial=np.inf)
+            best = (far <= least + 1e-12 * (1 + (x * x).sum(axis=1)[:, None])).argmax(axis=1)
+            d2 = ((x - c[best]) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int32()), pa.array(d2)], names=[*batch.schema.names, "cluster", "d2"])
+
+    schema = T.StructType([*matrix.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())])
+    return matrix.mapInArrow(run, schema)
 
 
 def cost(assigned: DataFrame) -> DataFrame:

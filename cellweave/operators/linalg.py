@@ -6,7 +6,7 @@ two stacks, cells by cells, is never formed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +31,14 @@ def _factors(blocks: Iterator[np.ndarray]) -> np.ndarray | None:
     return r
 
 
+def _rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def _emit(team: int, r: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if r is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([team] * len(r), pa.int32()), pa.array(r.tolist(), pa.list_(pa.float64()))], names=["team", "features"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), team, np.int32)), _rows(r)], names=["team", "features"])
 
 
 def triangular(matrix: DataFrame, features: str = "features") -> np.ndarray:
@@ -61,7 +66,7 @@ def times(matrix: DataFrame, small: np.ndarray, key: str = "cell", features: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((_block(b, 1) @ box.value).tolist(), pa.list_(pa.float64()))], names=[key, out])
+                yield pa.RecordBatch.from_arrays([b.column(0), _rows(_block(b, 1) @ box.value)], names=[key, out])
 
     kind = dict(matrix.dtypes)[key]
     return matrix.select(key, features).mapInArrow(run, f"{key} {kind}, {out} array<double>")
@@ -112,36 +117,51 @@ class Modes:
         return vectors.select("cell", F.posexplode("features").alias("mode", "value")).select("mode", "cell", "value")
 
 
-def _modes(a: DataFrame, b: DataFrame, left: np.ndarray, s: np.ndarray, right: np.ndarray) -> Modes:
-    keep = s > (s[0] if len(s) else 0) * max(left.shape[0], 1) * np.finfo(float).eps * 16
-    return Modes(times(a, left[:, keep]), s[keep], times(b, right[:, keep]))
+@dataclass
+class Reduced:
+    """What a tall matrix contributes to a product: its triangular factor, of rank k at most, and the map from its rows to an orthonormal base."""
+
+    matrix: DataFrame
+    factor: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, matrix: DataFrame, k: int | None = None) -> Reduced:
+        """Best approximation of rank k, taken on the small factor alone: no pass over the rows besides that of the factor."""
+        r = triangular(matrix)
+        left, s, right = np.linalg.svd(r)
+        s = np.where(s > _tiny(s), s, 0)[:k]
+        n = len(s)
+        inverse = np.divide(1, s, out=np.zeros(n), where=s > 0)
+        return cls(matrix, s[:, None] * right[:n], right[:n].T * inverse)
 
+    def back(self, small: np.ndarray) -> DataFrame:
+        """Vectors over the rows, from coefficients in the base."""
+        return times(self.matrix, self.base @ small)
 
-def product_svd(a: DataFrame, b: DataFrame) -> Modes:
-    """Singular modes of a times transposed b, by one QR decomposition each and an SVD of years by years.
 
-    Only the triangular factors are used: U = A pinv(R_A) U_C, which stays right where years depend on each other.
-    Modes whose singular value is zero but for rounding are left out.
+def _tiny(s: np.ndarray) -> float:
+    """Singular values up to this are zero but for rounding."""
+    return float(s.max(initial=0)) * len(s) * np.finfo(float).eps * 16
+
+
+def product_svd(a: DataFrame, b: DataFrame, p: int | None = None, q: int | None = None) -> Modes:
+    """Singular modes of a times transposed b, or of their best approximations of rank p and q.
+
+    One QR decomposition of each, cut to its rank, and an SVD of the product of the two small factors; the vectors are brought back in one
+    pass over the rows.  Years may depend on each other, and modes whose singular value is zero but for rounding are left out.
     """
-    ra, rb = triangular(a), triangular(b)
-    uc, s, vct = np.linalg.svd(ra @ rb.T)
-    return _modes(a, b, np.linalg.pinv(ra) @ uc, s, np.linalg.pinv(rb) @ vct.T)
+    left, right = Reduced.of(a, p), Reduced.of(b, q)
+    u, s, vt = np.linalg.svd(left.factor @ right.factor.T, full_matrices=False)
+    n = int((s > _tiny(s)).sum())
+    return Modes(left.back(u[:, :n]), s[:n], right.back(vt[:n].T))
 
 
 def svd(a: DataFrame, p: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Thin SVD of one tall matrix: (u, s, vt), vt on the driver."""
+    """Thin SVD of one tall matrix, its first p modes: (u, s, vt), vt on the driver."""
     _, s, vt = np.linalg.svd(triangular(a))
-    keep = s > (s[0] if len(s) else 0) * len(s) * np.finfo(float).eps * 16
-    s, vt = s[keep][:p], vt[keep][:p]
-    return times(a, vt.T / s), s, vt
-
-
-def product_svd_by_svd(a: DataFrame, b: DataFrame, p: int | None = None, q: int | None = None) -> Modes:
-    """Modes of the product of the rank-p and rank-q approximations of two matrices."""
-    ua, sa, vat = svd(a, p)
-    ub, sb, vbt = svd(b, q)
-    uc, s, vct = np.linalg.svd(np.diag(sa) @ vat @ vbt.T @ np.diag(sb), full_matrices=False)
-    return _modes(ua, ub, uc, s, vct.T)
+    n = min(int((s > _tiny(s)).sum()), len(s) if p is None else p)
+    return times(a, vt[:n].T / s[:n]), s[:n], vt[:n]
 
 
 def low_rank(a: DataFrame, p: int) -> DataFrame:
@@ -180,18 +200,22 @@ def normalise_rows(a: DataFrame) -> DataFrame:
     return a.select("cell", F.when(length > 0, F.transform("features", lambda x: x / length)).otherwise(F.col("features")).alias("features"))
 
 
-def mca(a: DataFrame, b: DataFrame, p: int | None = None, q: int | None = None, r: int | None = None) -> Modes:
-    """Maximum covariance analysis: columns centred, then the product's modes, r of them."""
-    a, b = centre_columns(a), centre_columns(b)
-    out = product_svd(a, b) if p is None and q is None else product_svd_by_svd(a, b, p, q)
+def analysis(a: DataFrame, b: DataFrame, prepare: Callable[[DataFrame], DataFrame], p: int | None = None, q: int | None = None, r: int | None = None) -> Modes:
+    """The first r modes of the product of two stacks after the same preparation, with ranks p and q."""
+    out = product_svd(prepare(a), prepare(b), p, q)
     return out if r is None else out.truncated(r)
 
 
+def mca(a: DataFrame, b: DataFrame, p: int | None = None, q: int | None = None, r: int | None = None) -> Modes:
+    """Maximum covariance analysis: years less their means over the cells; ranks are cut after that."""
+    return analysis(a, b, centre_columns, p, q, r)
+
+
 def cca(a: DataFrame, b: DataFrame, p: int | None = None, q: int | None = None, r: int | None = None) -> Modes:
-    """Canonical correlation by rows of unit length, after an optional reduction of rank."""
-    a, b = (x if k is None else low_rank(x, k) for x, k in ((a, p), (b, q)))
-    out = product_svd(normalise_rows(a), normalise_rows(b))
-    return out if r is None else out.truncated(r)
+    """Canonical correlation: rows of unit length.  Ranks are cut before that, for cutting changes the lengths."""
+    ranks = iter((p, q))
+    shorten = lambda x: x if (k := next(ranks)) is None else low_rank(x, k)
+    return analysis(a, b, lambda x: normalise_rows(shorten(x)), r=r)
 
 
 def gcca(*matrices: DataFrame, q: int | None = None, centre: bool = True, normalise: bool = True) -> tuple[np.ndarray, list[DataFrame]]:
@@ -214,15 +238,6 @@ def gcca(*matrices: DataFrame, q: int | None = None, centre: bool = True, normal
     return values[order], out
 
 
-def svd_by_embedding(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SVD of a small matrix from the eigenvectors of [[0, A], [A^T, 0]]; a check on other routes."""
-    m, n = a.shape
-    values, vectors = np.linalg.eigh(np.block([[np.zeros((m, m)), a], [a.T, np.zeros((n, n))]]))
-    order = np.argsort(-values)[: min(m, n)]
-    u, v = vectors[:m, order], vectors[m:, order]
-    return u / np.maximum(np.linalg.norm(u, axis=0), 1e-300), values[order], (v / np.maximum(np.linalg.norm(v, axis=0), 1e-300)).T
-
-
 def randomised_product(a: DataFrame, b: DataFrame, modes: int, extra: int = 8, rounds: int = 2, seed: int = 3) -> np.ndarray:
     """Leading singular values of a times transposed b from a Gaussian sketch of the years."""
     ga, gb = triangular(a), triangular(b)
@@ -234,6 +249,14 @@ def randomised_product(a: DataFrame, b: DataFrame, modes: int, extra: int = 8, r
     return np.linalg.svd(q.T @ c, compute_uv=False)[:modes]
 
 
+def expanded(m: Modes) -> DataFrame:
+    """(i, j, v): the product that the modes stand for, cells by cells, so for small grids."""
+    u, v = (x.select("cell", F.posexplode("features").alias("mode", "x")) for x in (m.u, m.v))
+    values = F.element_at(F.array(*[F.lit(float(s)) for s in m.s]), F.col("mode") + 1)
+    left = u.select(F.col("cell").alias("i"), "mode", (F.col("x") * values).alias("x"))
+    return left.join(v.select(F.col("cell").alias("j"), "mode", F.col("x").alias("y")), "mode").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
 def applied(a: DataFrame, b: DataFrame, v: DataFrame) -> DataFrame:
     """a (b^T v) for vectors v over b's cells, without forming the product."""
     return times(a, cross(b, v))

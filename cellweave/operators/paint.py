@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.sources.rasters import write_raster
+from cellweave.sources.rasters import encoded, save_bytes
 
 
 def paint(grid: DataFrame, result: DataFrame, *values: str, key: str = "cell") -> DataFrame:
@@ -18,9 +21,18 @@ def dense(values: DataFrame, n: int, key: str = "pos", value: str = "value") ->
     return values.sparkSession.range(n).withColumnRenamed("id", key).join(values.select(key, value), key, "left")
 
 
-def write_each(painted: DataFrame, grid, by: str, path: str, value: str = "value") -> list[str]:
-    """A raster for each value of `by` (years or modes, few)."""
-    keys = sorted(r[0] for r in painted.select(by).distinct().collect())
-    for k in keys:
-        write_raster(painted.where(F.col(by) == k), grid, f"{path}/{k}.tif", value)
-    return [f"{path}/{k}.tif" for k in keys]
+def write_each(painted: DataFrame, grid, by: str, path: str, value: str | list[str] = "value") -> list[str]:
+    """A raster for each value of `by` (years or modes, few; null has none), with a band for each value column, made by one task each in a single job; the driver stores one file after another."""
+    about = SimpleNamespace(**{k: getattr(grid, k) for k in ("cols", "rows", "xmin", "ymin", "xmax", "ymax", "epsg")})
+
+    def one(table: pa.Table) -> pa.Table:
+        blob = encoded(table.column("cell").to_numpy(), [c.to_numpy(zero_copy_only=False) for c in table.columns[2:]], about)
+        return pa.table({"name": [str(table.column("k")[0].as_py())], "blob": pa.array([blob], pa.binary())})
+
+    names = [value] if isinstance(value, str) else value
+    rows = painted.where(F.col(by).isNotNull()).select(F.col(by).alias("k"), "cell", *(F.col(v).cast("double").alias(f"v{n}") for n, v in enumerate(names)))
+    out = []
+    for name, blob in rows.groupBy("k").applyInArrow(one, "name string, blob binary").toLocalIterator():
+        save_bytes(painted.sparkSession, f"{path}/{name}.tif", bytes(blob))
+        out.append(f"{path}/{name}.tif")
+    return sorted(out)

@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import in_polygon, missing
-from cellweave.sources.rasters import read_rasters
+from cellweave.sources.rasters import load_mask, read_rasters
 
 
 def explode_cells(rasters: DataFrame, product: str = "", sentinels: tuple[float, ...] = ()) -> DataFrame:
     """One row for each year and cell."""
-    long = rasters.select(F.lit(product).alias("product"), "year", F.posexplode("cells").alias("cell", "value"))
-    return long.select("product", "year", F.col("cell").cast("long").alias("cell"), missing(F.col("value"), *sentinels).alias("value"))
+    long = rasters.select(F.lit(product).alias("product"), "year", "first", F.posexplode("cells").alias("pos", "value"))
+    return long.select("product", "year", (F.col("first") + F.col("pos")).alias("cell"), missing(F.col("value"), *sentinels).alias("value"))
 
 
-def read_stack(spark: SparkSession, path: str, product: str = "", band: int = 0, years: tuple[int, int] | None = None, mask: DataFrame | None = None, rule: str = "one", sentinels: tuple[float, ...] = (), glob: str = "*.tif") -> DataFrame:
-    """Load, choose band and years, turn sentinels to null, and keep the cells that the mask keeps."""
+def read_stack(spark: SparkSession, path: str, product: str = "", band: int = 0, years: tuple[int, int] | None = None, mask: DataFrame | str | None = None, rule: str = "one", sentinels: tuple[float, ...] = (), glob: str = "*.tif") -> DataFrame:
+    """Load, choose band and years, turn sentinels to null, and keep the cells that the mask, (cell, m) or a file, keeps."""
+    if isinstance(mask, str):
+        mask = load_mask(spark, mask)
     out = explode_cells(read_rasters(spark, path, band, years, glob), product, sentinels)
     return out if mask is None else keep_masked(out, mask, rule)
 

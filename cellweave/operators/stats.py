@@ -43,7 +43,7 @@ def cell_summary(stack: DataFrame) -> DataFrame:
 def centred(stack: DataFrame, by: str = "cell") -> DataFrame:
     """Values less the mean of their cell (over years) or of their year (over cells).
 
-    Years are few and hold many cells each, so their means are aggregated first and joined, not taken in a window.
+    Years are few and hold many cells each, so their means, a row for each, are aggregated first and joined, not taken in a window.
     """
     means = stack.groupBy(by).agg(F.avg("value").alias("__mean"))
     joined = stack.join(F.broadcast(means) if by == "year" else means, by)
@@ -51,9 +51,13 @@ def centred(stack: DataFrame, by: str = "cell") -> DataFrame:
 
 
 def normalised(stack: DataFrame, by: str = "cell") -> DataFrame:
-    """Values over the Euclidean length of their row; rows of zeros stay."""
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(by)))
-    return stack.select(*[c for c in stack.columns if c != "value"], F.coalesce(F.try_divide("value", F.nullif(length, F.lit(0.0))), F.lit(0.0)).alias("value"))
+    """Values over the Euclidean length of their cell (over years) or year (over cells); where that is zero, zero.
+
+    Lengths are aggregated first and joined, as years hold many cells; those of years, a few rows, are broadcast.
+    """
+    lengths = stack.groupBy(by).agg(F.nullif(F.sqrt(F.sum(F.col("value") * F.col("value"))), F.lit(0.0)).alias("__length"))
+    joined = stack.join(F.broadcast(lengths) if by == "year" else lengths, by)
+    return joined.select(*[c for c in stack.columns if c != "value"], F.coalesce(F.try_divide("value", F.col("__length")), F.lit(0.0)).alias("value"))
 
 
 def distance(a: DataFrame, b: DataFrame, key: str = "cell", by: str | None = None) -> DataFrame:

@@ -9,13 +9,14 @@ from collections.abc import Callable
 from types import SimpleNamespace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalar
-from cellweave.operators import cluster, linalg, paint, stack, stats
+from cellweave.operators import cluster, linalg, paint, stack, stats, tables
 from cellweave.plans.store import Scratch, computed
 from cellweave.sources import rasters, text
+from cellweave.streaming.rasters import running_summary, watch_stack
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,8 +62,8 @@ def suppliers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").cast("double").alias("m"))
 
 
-def embeddings(spark: SparkSession, d: str, dims: int = 8) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("features"))
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
 def r4(name: str):
@@ -77,10 +78,10 @@ def stack_union(spark, d):
     return stack.stacked(product(spark, d), product_b(spark, d)).select("product", "year", "cell", r4("value"))
 
 
-@query("SELECT vec_id AS cell, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
+@query("SELECT 'E' AS product, CAST(vec_id AS INTEGER) AS year, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS cell, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings")
 def explode_cells(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("cell"), F.posexplode("embedding").alias("pos", "v")).select("cell", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("year"), F.lit(0).cast("long").alias("first"), F.col("embedding").cast("array<double>").alias("cells"))
+    return stack.explode_cells(e, "E").withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {_STACKS} SELECT cell, {', '.join(f'round(max(CASE WHEN year = {y} THEN value END), 4) AS y{y}' for y in YEARS)} FROM a GROUP BY cell")
@@ -124,10 +125,11 @@ def reshape_flat(spark, d):
     return linalg.reshaped(flat, 37).select("i", "j", F.round("v", 2).alias("v"))
 
 
-@query("SELECT p_partkey AS pos, o_totalprice AS value FROM (SELECT unnest(range(0, 3000)) AS p_partkey) LEFT JOIN (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 0) ON p_partkey = o_orderkey")
+@query("SELECT pos, o_totalprice AS value FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 101 FROM orders))) AS pos) LEFT JOIN orders ON pos = o_orderkey")
 def reindex_dense(spark, d):
-    some = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("value"))
-    return paint.dense(some, 3000)
+    """All orders by key, and a hundred places behind the last."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("value"))
+    return paint.dense(orders, orders.agg(F.max("pos")).first()[0] + 101)
 
 
 # Masks, filters, sentinels
@@ -195,12 +197,24 @@ def drop_missing(spark, d):
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey NOT IN (0, 1)")
 def column_subset(spark, d):
-    return table(spark, d, "customer").where("c_nationkey not in (0, 1)").select("c_custkey", "c_acctbal")
+    return tables.subset(table(spark, d, "customer"), "c_nationkey not in (0, 1)", "c_custkey", "c_acctbal")
 
 
 @query("SELECT vec_id AS cell, round(CAST(embedding[4] AS DOUBLE), 6) AS value FROM embeddings")
 def component_of_rows(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), F.round(F.element_at("embedding", 4).cast("double"), 6).alias("value"))
+    return tables.component(table(spark, d, "embeddings").withColumnRenamed("vec_id", "cell"), "cell", "embedding", 3).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def first_rows(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", (-F.col("c_acctbal")).alias("down"))
+    return tables.first_rows(c, 25, "down", "c_custkey").drop("down")
+
+
+@query("SELECT * FROM (VALUES (210, 75, 0.5::DOUBLE), (220, 75, 0.25::DOUBLE)) AS t(k, iterations, wssse)")
+def local_rows(spark, d):
+    t = tables.local(spark, [(210, 75, 0.5), (220, 75, 0.25)], "k int, iterations int, wssse double")
+    return t.unionByName(tables.empty_like(t))
 
 
 @query("SELECT p_partkey AS pos, CASE WHEN p_partkey = 5 THEN 'list.txt' ELSE p_name END AS value FROM part")
@@ -209,9 +223,10 @@ def settings_line(spark, d):
     return text.replace_line(lines, "pos", 5, "list.txt")
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("key")).join(table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("key")), "key", "left_anti")
+    partly = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"))
+    return tables.difference(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), partly, "key")
 
 
 @query("SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap FROM orders")
@@ -269,19 +284,22 @@ def day_correlation(spark, d):
     return c.select("cell", F.round("corr", 6).alias("corr"), "n", "neg_cnt")
 
 
-@query("SELECT CAST(a.vec_id % 20 AS BIGINT) AS i, b.pos AS j, round(sum(a.v * b.v), 4) AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) a JOIN (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) b USING (vec_id) WHERE a.pos = 0 GROUP BY ALL")
+_ENTRIES = "e AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
+@query(f"WITH {_ENTRIES} SELECT a.pos AS i, b.pos AS j, round(sum(a.v * b.v), 4) AS v FROM e a JOIN e b USING (vec_id) GROUP BY ALL")
 def matrix_product(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    left = e.where("pos = 0").select((F.col("vec_id") % 20).alias("i"), F.col("vec_id").alias("t"), "v")
-    right = e.select(F.col("vec_id").alias("t"), F.col("pos").cast("long").alias("j"), "v")
+    """Transposed embeddings times embeddings, as long matrices."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    left, right = linalg.transpose(e).withColumnRenamed("j", "t"), e.withColumnRenamed("i", "t")
     return linalg.matmul(left, right).select("i", "j", r4("v"))
 
 
-@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), f AS (SELECT * FROM e WHERE pos < 8) SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, round(sum(a.v * b.v), 4) AS v FROM f a JOIN f b USING (vec_id) GROUP BY ALL")
+@query(f"WITH {_ENTRIES} SELECT a.pos AS i, b.pos AS j, round(sum(a.v * b.v), 4) AS v FROM e a JOIN e b USING (vec_id) GROUP BY ALL")
 def gram_matrix(spark, d):
     e = embeddings(spark, d)
     g = linalg.cross(e, e)
-    return spark.createDataFrame([(i, j, round(float(g[i, j]), 4)) for i in range(8) for j in range(8)], "i int, j int, v double")
+    return tables.local(spark, [(i, j, round(float(g[i, j]), 4)) for i, j in np.ndindex(*g.shape)], "i int, j int, v double")
 
 
 # Statistics
@@ -289,7 +307,7 @@ def gram_matrix(spark, d):
 
 @query(f"WITH {_STACKS} SELECT count(*) AS n FROM a")
 def row_count(spark, d):
-    return product(spark, d).agg(F.count("*").alias("n"))
+    return tables.row_count(product(spark, d))
 
 
 @query(f"WITH {_HOLES} SELECT cell, count(value) AS n, round(avg(value), 4) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 4) AS stddev FROM h GROUP BY cell")
@@ -312,6 +330,11 @@ def normalised_rows(spark, d):
     return stats.normalised(product(spark, d)).select("cell", "year", F.round("value", 6).alias("value"))
 
 
+@query(f"WITH {_STACKS} SELECT cell, year, round(value / sqrt(sum(value * value) OVER (PARTITION BY year)), 6) AS value FROM a")
+def normalised_years(spark, d):
+    return stats.normalised(product(spark, d), "year").select("cell", "year", F.round("value", 6).alias("value"))
+
+
 @query(f"""WITH {_STACKS}, m AS (SELECT year, sqrt(sum((a.value - b.value) ** 2)) AS direct, sqrt(sum((a.value + b.value) ** 2)) AS mirrored FROM a JOIN b USING (cell, year) GROUP BY year)
 SELECT year, round(direct, 3) AS direct, round(mirrored, 3) AS mirrored, round(CASE WHEN direct > 1 THEN mirrored ELSE direct END, 3) AS distance FROM m""")
 def sign_free_distance(spark, d):
@@ -342,7 +365,7 @@ def value_limits(spark, d):
 
 @query(f"WITH {_STACKS} SELECT year, count(DISTINCT cell) AS cells FROM a GROUP BY year")
 def cells_per_year(spark, d):
-    return product(spark, d).groupBy("year").agg(F.count_distinct("cell").alias("cells"))
+    return tables.cells_per_year(product(spark, d))
 
 
 # Singular values
@@ -361,66 +384,102 @@ def product_svd_norm(spark, d):
     return spark.createDataFrame([(round(float(np.sqrt((m.s**2).sum())) / 1e6, 3),)], "frobenius double")
 
 
-@query(f"""WITH {_STACKS}, g AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM a x JOIN a y USING (cell) GROUP BY ALL)
-SELECT round(sum(v), 3) AS squares FROM g WHERE i = j""")
-def svd_norm(spark, d):
-    _, s, _ = linalg.svd(_both(spark, d)[0])
-    return spark.createDataFrame([(round(float((s**2).sum()), 3),)], "squares double")
+def _entries(m: linalg.Modes, places: int) -> DataFrame:
+    """The product that modes stand for, entry by entry: free of the vectors' signs, and right only if all of them are."""
+    return linalg.expanded(m).select("i", "j", (F.round("v", places) + 0).alias("v"))
 
 
-@query(f"""WITH {_STACKS}, ca AS (SELECT cell, year, value - avg(value) OVER (PARTITION BY cell) AS value FROM a), cb AS (SELECT cell, year, value - avg(value) OVER (PARTITION BY cell) AS value FROM b),
-ga AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM ca x JOIN ca y USING (cell) GROUP BY ALL),
-gb AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM cb x JOIN cb y USING (cell) GROUP BY ALL)
-SELECT round(sqrt(sum(ga.v * gb.v)) / 1e4, 3) AS frobenius FROM ga JOIN gb USING (i, j)""")
-def centred_product_norm(spark, d):
-    m = linalg.product_svd(*(linalg.prepared(x, 1) for x in _both(spark, d)))
-    return spark.createDataFrame([(round(float(np.sqrt((m.s**2).sum())) / 1e4, 3),)], "frobenius double")
+def _product(left: str, right: str, places: int) -> str:
+    """SQL of a product of two stacks (cell, year, value), cells by cells."""
+    return f"SELECT x.cell AS i, y.cell AS j, round(sum(x.value * y.value), {places}) + 0 AS v FROM {left} x JOIN {right} y USING (year) GROUP BY ALL"
+
 
+_BY_CELL = "ca AS (SELECT cell, year, value - avg(value) OVER (PARTITION BY cell) AS value FROM a), cb AS (SELECT cell, year, value - avg(value) OVER (PARTITION BY cell) AS value FROM b)"
+_BY_YEAR = _BY_CELL.replace("PARTITION BY cell", "PARTITION BY year")
+_UNIT = "SELECT cell, year, value / sqrt(sum(value * value) OVER (PARTITION BY cell)) AS value FROM"
+#: Leading right singular vector of each stack, by power iteration on its Gram matrix; all entries are positive.
+_LEADING = "".join(
+    f"""g{t} AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM {t} x JOIN {t} y USING (cell) GROUP BY ALL),
+r{t} AS (SELECT list(r ORDER BY i) AS r FROM (SELECT i, list(v ORDER BY j) AS r FROM g{t} GROUP BY i)),
+p{t} AS (SELECT 0 AS n, list_transform(r, lambda q: 1.0::DOUBLE) AS x, r FROM r{t} UNION ALL SELECT n + 1, list_transform(r, lambda q: list_inner_product(q, x) / list_inner_product(r[1], x)), r FROM p{t} WHERE n < 80),
+v{t} AS (SELECT 1994 + k AS year, x[k] / sqrt(list_inner_product(x, x)) AS v FROM (SELECT x, unnest(range(1, 8)) AS k FROM p{t} WHERE n = 80)),
+s{t} AS (SELECT cell, sum(value * v) AS s FROM {t} JOIN v{t} USING (year) GROUP BY cell),
+"""
+    for t in "ab"
+)
+
+
+@query(f"WITH {_STACKS} SELECT cell, year, round(value * 0.7310585786300049, 4) AS value FROM a")
+def svd_modes(spark, d):
+    """Left vectors times values times right vectors of one stack: its entries, scaled as many of them lie between two rounded numbers."""
+    u, s, vt = linalg.svd(_both(spark, d)[0])
+    back = linalg.times(u, s[:, None] * vt).select("cell", F.posexplode("features").alias("k", "value"))
+    return back.select("cell", (F.col("k") + YEARS[0]).alias("year"), F.round(F.col("value") * 0.7310585786300049, 4).alias("value"))
+
+
+@query(f"WITH {_STACKS}, {_BY_CELL} {_product('ca', 'cb', 1)}")
+def centred_product_modes(spark, d):
+    return _entries(linalg.product_svd(*(linalg.prepared(x, 1) for x in _both(spark, d))), 1)
 
-@query()
+
+@query(f"WITH {_STACKS} {_product('a', 'b', 1)}")
 def product_svd_modes(spark, d):
-    m = linalg.product_svd(*_both(spark, d)).truncated(3)
-    return linalg.Modes.by_mode(m.u).withColumnRenamed("value", "u").join(linalg.Modes.by_mode(m.v).withColumnRenamed("value", "v"), ["mode", "cell"]).join(m.values(), "mode")
+    return _entries(linalg.product_svd(*_both(spark, d)), 1)
 
 
-@query("SELECT CAST(unnest(range(0, 7)) AS INTEGER) AS mode, TRUE AS small")
+@query(f"""WITH {_STACKS}, u AS (SELECT cell, unnest([0, 1]) AS mode, unnest([1.0, cell]) AS u, unnest([1e6, 3e6]) AS s, unnest([1.0, cell + 0.5]) AS v FROM (SELECT DISTINCT cell FROM a)),
+ta AS (SELECT mode, year, sum(value * u) AS t FROM a JOIN u USING (cell) GROUP BY ALL), tb AS (SELECT mode, year, sum(value * v) AS t FROM b JOIN u USING (cell) GROUP BY ALL),
+fa AS (SELECT mode, cell, sum(value * t) AS f FROM a JOIN tb USING (year) GROUP BY ALL), fb AS (SELECT mode, cell, sum(value * t) AS f FROM b JOIN ta USING (year) GROUP BY ALL)
+SELECT CAST(mode AS INTEGER) AS mode, round(greatest(sqrt(sum((u - fa.f / s) ** 2)), sqrt(sum((v - fb.f / s) ** 2))), 4) AS residual FROM u JOIN fa USING (mode, cell) JOIN fb USING (mode, cell) GROUP BY mode""")
 def svd_residuals(spark, d):
+    """How far given vectors are from being modes of the product."""
     a, b = _both(spark, d)
-    m = linalg.product_svd(a, b)
-    return spark.createDataFrame([(k, bool(x < 1e-6)) for k, x in enumerate(linalg.residuals(a, b, m))], "mode int, small boolean")
+    u, v = (x.select("cell", F.array(F.lit(1.0), F.col("cell") + shift).alias("features")) for x, shift in ((a, 0.0), (b, 0.5)))
+    found = linalg.residuals(a, b, linalg.Modes(u, np.array([1e6, 3e6]), v))
+    return tables.local(spark, [(k, round(float(x), 4)) for k, x in enumerate(found)], "mode int, residual double")
 
 
-@query()
+@query(f"WITH {_STACKS}, {_BY_YEAR} {_product('ca', 'cb', 1)}")
 def maximum_covariance(spark, d):
-    return linalg.Modes.by_mode(linalg.mca(*_both(spark, d), r=3).u)
+    return _entries(linalg.mca(*_both(spark, d)), 1)
 
 
-@query()
+@query(f"WITH {_STACKS}, na AS ({_UNIT} a), nb AS ({_UNIT} b) {_product('na', 'nb', 6)}")
 def canonical_correlation(spark, d):
-    return linalg.Modes.by_mode(linalg.cca(*_both(spark, d), p=4, q=4, r=3).u)
+    return _entries(linalg.cca(*_both(spark, d)), 6)
 
 
-@query()
+@query(f"WITH {_STACKS}, {_BY_YEAR}, na AS ({_UNIT} ca), nb AS ({_UNIT} cb) {_product('na', 'nb', 6)}")
 def generalised_correlation(spark, d):
-    a, b = _both(spark, d)
-    c = stack.matrix(product(spark, d, "l_discount", "C"), YEARS)
-    return linalg.Modes.by_mode(linalg.gcca(a, b, c, q=2)[1][0])
+    """Of two stacks, whose modes are those of their product."""
+    values, parts = linalg.gcca(*_both(spark, d))
+    return _entries(linalg.Modes(parts[0], values, parts[1]), 6)
 
 
-@query()
+@query(f"WITH RECURSIVE {_STACKS}, {_LEADING} one AS (SELECT 1) SELECT cell, CAST(year AS INTEGER) AS year, round(s * v, 4) AS value FROM sa, va")
 def low_rank_matrix(spark, d):
-    return linalg.low_rank(_both(spark, d)[0], 3)
+    out = linalg.low_rank(_both(spark, d)[0], 1).select("cell", F.posexplode("features").alias("k", "value"))
+    return out.select("cell", (F.col("k") + YEARS[0]).alias("year"), r4("value"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_STACKS}, {_LEADING} c AS (SELECT sum(va.v * vb.v) AS c FROM va JOIN vb USING (year)) SELECT sa.cell AS i, sb.cell AS j, round(sa.s * c * sb.s, 1) AS v FROM sa, sb, c")
 def product_svd_by_svd(spark, d):
-    return linalg.product_svd_by_svd(*_both(spark, d), p=3, q=3).values()
+    """Modes of the product of two approximations of rank one."""
+    return _entries(linalg.product_svd(*_both(spark, d), p=1, q=1), 1)
 
 
-@query()
+@query(f"""WITH {_STACKS}, {_BY_CELL},
+ga AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM ca x JOIN ca y USING (cell) GROUP BY ALL),
+gb AS (SELECT x.year AS i, y.year AS j, sum(x.value * y.value) AS v FROM cb x JOIN cb y USING (cell) GROUP BY ALL),
+m1 AS (SELECT ga.i, gb.j, sum(ga.v * gb.v) AS v FROM ga JOIN gb ON ga.j = gb.i GROUP BY ALL),
+m2 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM m1 x JOIN m1 y ON x.j = y.i GROUP BY ALL),
+m3 AS (SELECT x.i, y.j, sum(x.v * y.v) AS v FROM m2 x JOIN m1 y ON x.j = y.i GROUP BY ALL),
+t AS (SELECT 1 AS power, v FROM m1 WHERE i = j UNION ALL SELECT 2, v FROM m2 WHERE i = j UNION ALL SELECT 3, v FROM m3 WHERE i = j)
+SELECT CAST(power AS INTEGER) AS power, round(ln(sum(v)), 6) AS log_sum FROM t GROUP BY power""")
 def randomised_values(spark, d):
-    s = linalg.randomised_product(*_both(spark, d), 3)
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "mode int, value double")
+    """Sums of powers of the squared singular values, which traces of the Gram matrices give without them."""
+    s = linalg.randomised_product(*(linalg.prepared(x, 1) for x in _both(spark, d)), len(YEARS))
+    return tables.local(spark, [(p, round(float(np.log((s ** (2 * p)).sum())), 6)) for p in (1, 2, 3)], "power int, log_sum double")
 
 
 # Clustering
@@ -441,32 +500,51 @@ def clustering_cost(spark, d):
     return cluster.cost(cluster.nearest(stack.matrix(product(spark, d), YEARS), _CENTRES)).select(F.round("wssse", 3).alias("wssse"))
 
 
-@query("SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS k, 20 AS iterations, TRUE AS falls")
+#: Cells in four groups far apart, so that the best clusters are known: k clusters part the groups as `parted` says.
+_LEVELS = [0.0, 30.0, 3000.0, 4000.0]
+_GROUPED = f"{_STACKS}, h AS (SELECT cell, year, cell % 4 AS g, value + ([0.0, 30.0, 3000.0, 4000.0])[cell % 4 + 1] AS value FROM a)"
+
+
+def grouped(spark: SparkSession, d: str, column: str = "l_quantity", name: str = "A") -> DataFrame:
+    level = F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.col("cell") % 4 + 1).cast("int"))
+    return product(spark, d, column, name).withColumn("value", F.col("value") + level)
+
+
+@query(f"""WITH {_GROUPED}, parted AS (SELECT unnest([2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4]) AS k, unnest([0, 1, 2, 3, 0, 1, 2, 3, 0, 1, 2, 3]) AS g, unnest([0, 0, 1, 1, 0, 0, 1, 2, 0, 1, 2, 3]) AS c),
+e AS (SELECT k, (value - avg(value) OVER (PARTITION BY k, c, year)) ** 2 AS e FROM h JOIN parted USING (g))
+SELECT CAST(k AS INTEGER) AS k, 20 AS iterations, round(ln(sum(e)), 4) AS log_wssse FROM e GROUP BY k""")
 def kmeans_sweep(spark, d):
-    """The elbow table; costs fall with k on these data."""
-    t = cluster.sweep(stack.matrix(product(spark, d), YEARS), cluster.k_values(2, 4, 1), 20)
-    costs = [r.wssse for r in t.orderBy("k").collect()]
-    falls = [True, *(x > y for x, y in zip(costs, costs[1:], strict=False))]
-    return spark.createDataFrame([(k, 20, f) for k, f in zip((2, 3, 4), falls, strict=True)], "k int, iterations int, falls boolean")
+    """The elbow table."""
+    t = cluster.sweep(stack.matrix(grouped(spark, d), YEARS), cluster.k_values(2, 4, 1), 20)
+    return t.select("k", "iterations", F.round(F.ln("wssse"), 4).alias("log_wssse"))
 
 
-@query()
+@query(f"WITH {_GROUPED} SELECT s_suppkey AS cell, round(value, 4) AS value FROM supplier LEFT JOIN (SELECT cell, avg(value) OVER (PARTITION BY g) AS value FROM h WHERE year = 1995) ON cell = s_suppkey")
 def kmeans_painted(spark, d):
     """Cells painted with the first coordinate of their cluster's centre; the model goes through its files."""
     with Scratch(spark) as tmp:
-        m = stack.matrix(product(spark, d), YEARS)
+        m = stack.matrix(grouped(spark, d), YEARS)
         path = tmp.path("models")
-        cluster.sweep(m, [3], 20, path)
-        out = cluster.predict(cluster.load(f"{path}/3"), m)
-        return tmp.keep(paint.paint(suppliers(spark, d), out, "cluster", "value"))
+        cluster.sweep(m, [4], 20, path)
+        out = cluster.predict(cluster.load(f"{path}/4"), m)
+        return tmp.keep(paint.paint(suppliers(spark, d), out.select("cell", r4("value")), "value"))
 
 
-@query()
+@query(f"""WITH {_GROUPED}, t AS (SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INTEGER) AS year, avg(l_tax) AS value FROM lineitem GROUP BY ALL)
+SELECT h.year, cell, round(avg(h.value) OVER (PARTITION BY g), 4) AS value FROM h JOIN t USING (cell, year)""")
 def kmeans_pairs(spark, d):
     """Years and cells clustered by the values of both products."""
-    p = cluster.pair_features(stack.pair(product(spark, d), product_b(spark, d)))
-    model, _ = cluster.train(cluster.vectors(p), 3, 20)
-    return cluster.predict(model, p, "year", "cell")
+    p = cluster.pair_features(stack.pair(grouped(spark, d), product(spark, d, "l_tax", "C")))
+    model, _ = cluster.train(cluster.vectors(p), 4, 20)
+    return cluster.predict(model, p, "year", "cell").select("year", "cell", r4("value"))
+
+
+@query(f"WITH {_GROUPED} SELECT cell, round(avg(value) OVER (PARTITION BY g), 4) AS value FROM h WHERE year = 1995")
+def kmeans_image(spark, d):
+    """A single image's cells, clustered by their one value."""
+    one = stack.select_years(grouped(spark, d), 1995, 1995).select("cell", F.array("value").alias("features"))
+    model, _ = cluster.train(cluster.vectors(one), 4, 20)
+    return cluster.predict(model, one).select("cell", r4("value"))
 
 
 _BLOCKS = f"""WITH {_STACKS}, z AS (SELECT cell AS i, year AS j, value AS z FROM a), g AS (SELECT avg(z) AS g FROM z),
@@ -508,10 +586,16 @@ def cocluster_rows_divergence(spark, d):
     return _row_step(spark, d, "divergence")
 
 
-@query()
+@query(f"""{_BLOCKS}, e AS (SELECT i, rc, sum((z - m) * (z - m)) AS d FROM z JOIN m ON j % 2 = cc GROUP BY ALL),
+r AS (SELECT i, rc FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, rc) = 1),
+n AS (SELECT rc, j % 2 AS cc, (sum(z) + g * 1e-8) / (count(*) + 1e-8) AS m FROM z JOIN r USING (i), g GROUP BY rc, j % 2, g),
+f AS (SELECT j, cc, sum((z - m) * (z - m)) AS d FROM z JOIN r USING (i) JOIN n USING (rc) GROUP BY ALL),
+c AS (SELECT j, cc FROM f QUALIFY row_number() OVER (PARTITION BY j ORDER BY d, cc) = 1)
+SELECT 'row' AS side, i AS id, CAST(rc AS INTEGER) AS c FROM r UNION ALL SELECT 'col', CAST(j AS BIGINT), CAST(cc AS INTEGER) FROM c""")
 def cocluster(spark, d):
-    z, model = _coclusters(spark, d)
-    rows, cols, _ = model.fit(z)
+    """Rows and columns after one whole step from a stated start."""
+    z, _ = _coclusters(spark, d)
+    rows, cols, _ = cluster.CoClusters(3, 2, start="mod", iterations=1, runs=1).fit(z)
     return rows.select(F.lit("row").alias("side"), F.col("i").alias("id"), "c").unionByName(cols.select(F.lit("col").alias("side"), F.col("j").alias("id"), "c"))
 
 
@@ -533,13 +617,30 @@ def kept_by_parameters(spark, d):
         return out.select("cell", r4("value"))
 
 
-@query("SELECT round(sum(CAST(x AS DOUBLE)), 3) AS total, count(*) AS n FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+@query("""SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS line, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) + 0 AS total,
+round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: k * CAST(embedding[k] AS DOUBLE))), 3) + 0 AS weighted FROM embeddings""")
 def csv_matrix_round_trip(spark, d):
+    """Rows of numbers through sorted lines: each line's numbers, by sums that tell their places apart."""
     with Scratch(spark) as tmp:
         path = tmp.path("rows")
-        text.write_rows(embeddings(spark, d, 64), path, "features", "cell")
-        rows = text.read_lines(spark, path).select(F.explode(text.parse_numbers(F.col("value"))).alias("x"))
-        return tmp.keep(rows.agg(F.round(F.sum("x"), 3).alias("total"), F.count("x").alias("n")))
+        text.write_rows(embeddings(spark, d), path, "features", "cell")
+        lines = text.read_lines(spark, path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"), text.parse_numbers(F.col("value")).alias("x"))
+        add = lambda c: F.aggregate(c, F.lit(0.0), lambda t, v: t + v)
+        out = lines.select(
+            (F.row_number().over(Window.orderBy("file", "id")) - 1).alias("line"), F.size("x").cast("long").alias("n"), F.round(F.get("x", 0), 5).alias("first"),
+            (F.round(add(F.col("x")), 4) + 0).alias("total"), (F.round(add(F.transform("x", lambda v, k: v * (k + 1))), 3) + 0).alias("weighted"),
+        )
+        return tmp.keep(out)
+
+
+@query("SELECT string_agg(printf('%.1f', n_nationkey * 0.5), ',' ORDER BY n_nationkey % 5) AS value FROM nation GROUP BY n_nationkey // 5")
+def transposed_lines(spark, d):
+    """Vectors (mode, cell, value) as a line for each cell."""
+    v = table(spark, d, "nation").select((F.col("n_nationkey") % 5).alias("mode"), F.floor(F.col("n_nationkey") / 5).alias("cell"), (F.col("n_nationkey") * 0.5).alias("value"))
+    with Scratch(spark) as tmp:
+        path = tmp.path("lines")
+        text.write_transposed(v, path)
+        return tmp.keep(text.read_lines(spark, path))
 
 
 @query("SELECT CAST(n_nationkey + 2 AS INTEGER) AS _c0, 75 AS _c1, n_nationkey * 1.5::DOUBLE + 0.25 AS _c2 FROM nation")
@@ -567,48 +668,88 @@ def mode_text(spark, d):
     return text.mode_lines(v, s, v)
 
 
+def _grid(spark: SparkSession, d: str) -> SimpleNamespace:
+    """Ten columns, and rows for all suppliers."""
+    rows = -(-(table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] + 1) // 10)
+    return SimpleNamespace(cols=10, rows=rows, xmin=-10.0, ymin=50.0 - rows, xmax=0.0, ymax=50.0, epsg=4326)
+
+
+_ROWS = "(SELECT CAST(ceil((max(s_suppkey) + 1) / 10) AS INTEGER) FROM supplier)"
+
+
 def _written(spark: SparkSession, d: str, tmp: Scratch) -> str:
-    """Product A as one raster of 10 x 10 cells a year."""
+    """Product A as one raster a year."""
     top = tmp.path("rasters")
-    grid = SimpleNamespace(cols=10, rows=10, xmin=-10.0, ymin=40.0, xmax=0.0, ymax=50.0, epsg=4326)
-    small = product(spark, d).where("cell < 100")
-    paint.write_each(small, grid, "year", top)
+    paint.write_each(product(spark, d), _grid(spark, d), "year", top)
     return top
 
 
-@query(f"WITH {_STACKS} SELECT cell, year, round(value, 4) AS value FROM a WHERE cell < 100 AND year BETWEEN 1996 AND 1999")
+@query(f"WITH {_STACKS} SELECT cell, year, round(value, 4) AS value FROM a WHERE year BETWEEN 1996 AND 1999")
 def raster_round_trip(spark, d):
     with Scratch(spark) as tmp:
         s = stack.read_stack(spark, _written(spark, d, tmp), "A", years=(1996, 1999))
         return tmp.keep(stack.drop_missing(s).select("cell", "year", r4("value")))
 
 
+@query(f"WITH {_STACKS} SELECT cell, year, round(value * 0.7310585786300049, 4) AS value FROM b WHERE cell IN (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 0)")
+def masked_band(spark, d):
+    """The second of two bands, where a mask file has no zero."""
+    both = product(spark, d).join(product_b(spark, d).withColumnRenamed("value", "b"), ["cell", "year"])
+    with Scratch(spark) as tmp:
+        top, mask, grid = tmp.path("rasters"), tmp.path("mask") + ".tif", _grid(spark, d)
+        paint.write_each(both, grid, "year", top, ["value", "b"])
+        rasters.write_raster(suppliers(spark, d), grid, mask, "m")
+        s = stack.read_stack(spark, top, "B", band=1, mask=mask, rule="nonzero")
+        return tmp.keep(stack.drop_missing(s).select("cell", "year", F.round(F.col("value") * 0.7310585786300049, 4).alias("value")))
+
+
+@query("SELECT s_suppkey AS cell, CAST(s_nationkey AS DOUBLE) AS m FROM supplier")
+def mask_round_trip(spark, d):
+    with Scratch(spark) as tmp:
+        path = tmp.path("mask") + ".tif"
+        rasters.write_raster(suppliers(spark, d), _grid(spark, d), path, "m")
+        return tmp.keep(rasters.load_mask(spark, path).where("m is not null"))
+
+
 @query(f"WITH {_STACKS} SELECT CAST(row_number() OVER (ORDER BY year) - 1 AS INTEGER) AS year_idx, year FROM (SELECT DISTINCT year FROM a)")
 def raster_listing(spark, d):
     with Scratch(spark) as tmp:
         return tmp.keep(rasters.list_files(spark, _written(spark, d, tmp)).select("year_idx", "year"))
 
 
-@query("SELECT 10 AS cols, 10 AS rows, -10.0::DOUBLE AS xmin, 50.0::DOUBLE AS ymax, 4326 AS epsg, 'float64' AS cell_type")
+@query(f"WITH {_STACKS} SELECT DISTINCT year, 0 AS band, 10 AS cols, {_ROWS} AS rows, -10.0::DOUBLE AS xmin, 50.0::DOUBLE - {_ROWS} AS ymin, 4326 AS epsg, 'float64' AS cell_type FROM a")
 def raster_profile(spark, d):
     with Scratch(spark) as tmp:
-        r = rasters.read_rasters(spark, _written(spark, d, tmp))
-        return tmp.keep(rasters.grid_of(r).select("cols", "rows", "xmin", "ymax", "epsg", "cell_type"))
+        return tmp.keep(rasters.profile(spark, _written(spark, d, tmp)).select("year", "band", "cols", "rows", "xmin", "ymin", "epsg", "cell_type"))
 
 
-@query("SELECT 10 AS cols, 10 AS rows, -10.0::DOUBLE AS xmin, 40.0::DOUBLE AS ymin, 0.0::DOUBLE AS xmax, 50.0::DOUBLE AS ymax, 4326 AS epsg, 'float64' AS cell_type")
+@query(f"SELECT 10 AS cols, {_ROWS} AS rows, -10.0::DOUBLE AS xmin, 50.0::DOUBLE - {_ROWS} AS ymin, 0.0::DOUBLE AS xmax, 50.0::DOUBLE AS ymax, 4326 AS epsg, 'float64' AS cell_type")
 def grid_metadata_round_trip(spark, d):
     with Scratch(spark) as tmp:
         path = tmp.path("grid")
-        rasters.save_grid(rasters.grid_of(rasters.read_rasters(spark, _written(spark, d, tmp))), path)
+        rasters.save_grid(rasters.grid_of(spark, _written(spark, d, tmp)), path)
         return tmp.keep(rasters.load_grid(spark, path))
 
 
-@query("SELECT '1997.tif' AS name, 1 AS files")
+@query(f"WITH {_STACKS} SELECT '1997.tif' AS name, cell, round(value, 4) AS value FROM a WHERE year = 1997")
 def raster_lookup(spark, d):
+    """One file by its name, and what is in it."""
     with Scratch(spark) as tmp:
         found = rasters.lookup(spark, _written(spark, d, tmp), "1997.tif")
-        return tmp.keep(found.groupBy(F.regexp_extract("path", "[^/]*$", 0).alias("name")).agg(F.count("*").cast("int").alias("files")))
+        name = F.regexp_extract("path", "[^/]*$", 0).alias("name")
+        cells = rasters.decoded(found).select(name, "first", F.posexplode("cells").alias("pos", "value"))
+        return tmp.keep(cells.where("not isnan(value)").select("name", (F.col("first") + F.col("pos")).alias("cell"), r4("value")))
+
+
+@query(f"WITH {_STACKS} SELECT cell, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS stddev FROM a GROUP BY cell")
+def streamed_summary(spark, d):
+    """Rasters that arrive as a stream, a few at a time, and their cells' sums so far."""
+    with Scratch(spark) as tmp:
+        out, state = tmp.path("summary"), tmp.path("state")
+        s = running_summary(stack.drop_missing(watch_stack(spark, _written(spark, d, tmp), "A", files_at_once=3)))
+        follow = s.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", state)
+        follow.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+        return spark.read.parquet(out).select("cell", "n", r4("mean"), r4("stddev"))
 
 
 @query("SELECT p_partkey, CAST((p_partkey // 10) * 10 + p_partkey % 10 AS BIGINT) AS cell FROM part")

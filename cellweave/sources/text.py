@@ -46,14 +46,21 @@ def write_modes(lines: DataFrame, path: str) -> None:
     lines.repartition("mode").sortWithinPartitions("mode", "line_no").select("mode", "line").write.mode("overwrite").partitionBy("mode").text(path)
 
 
+def write_transposed(vectors: DataFrame, path: str) -> None:
+    """Vectors (mode, cell, value) as comma-separated lines, one for each cell over the modes, sorted by cell."""
+    modes = sorted(r[0] for r in vectors.select("mode").distinct().collect())
+    wide = vectors.groupBy("cell").pivot("mode", modes).agg(F.first("value"))
+    write_rows(wide.select("cell", F.array(*[F.col(str(m)) for m in modes]).alias("values")), path, "values", "cell")
+
+
 def write_elbow(table: DataFrame, path: str) -> None:
     """(k, iterations, wssse) as one sorted CSV file without a header."""
     table.coalesce(1).sortWithinPartitions("k").write.mode("overwrite").csv(path, header=False)
 
 
 def read_elbow(spark: SparkSession, path: str) -> DataFrame:
-    """Columns _c0, _c1, _c2 by inference; malformed lines are dropped."""
-    return spark.read.format("csv").option("header", "false").option("inferSchema", "true").option("mode", "DROPMALFORMED").load(path)
+    """Columns _c0 (k), _c1 (iterations) and _c2 (cost); lines that do not fit are dropped."""
+    return spark.read.csv(path, schema="_c0 int, _c1 int, _c2 double", mode="DROPMALFORMED")
 
 
 def replace_line(lines: DataFrame, pos: Column | str, at: int, new: str, value: str = "value") -> DataFrame:

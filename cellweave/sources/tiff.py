@@ -74,8 +74,26 @@ def _unlzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decode(data: bytes) -> Raster:
-    """Read a classic TIFF; BigTIFF, JPEG and other compressions are refused."""
+@dataclass
+class Header:
+    """What a file says of itself: its tags, byte order and size, extent (xmin, ymin, xmax, ymax) and coordinate system."""
+
+    tags: dict[int, tuple]
+    order: str
+    cols: int
+    rows: int
+    bands: int
+    box: tuple[float, float, float, float]
+    epsg: int
+    no_data: float | None
+    dtype: np.dtype
+
+    def one(self, tag: int, default: int) -> int:
+        return self.tags.get(tag, (default,))[0]
+
+
+def header(data: bytes) -> Header:
+    """Read what a classic TIFF says of itself, not its cells; BigTIFF and unknown samples are refused."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a classic TIFF file")
@@ -97,12 +115,29 @@ def decode(data: bytes) -> Raster:
     if len(bits) != 1 or bits & {8, 16, 32, 64} == set() or kind not in KINDS:
         raise ValueError(f"samples of {bits} bits, format {kind}, are not supported")
     dtype = np.dtype(f"{order}{KINDS[kind]}{bits.pop() // 8}")
-    compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
+    box = (0.0, 0.0, float(width), float(height))
+    if PIXEL_SCALE in tags and TIEPOINT in tags:
+        sx, sy = tags[PIXEL_SCALE][:2]
+        i, j, _, x, y = tags[TIEPOINT][:5]
+        left, top = x - i * sx, y + j * sy
+        box = (left, top - height * sy, left + width * sx, top)
+    keys = tags.get(GEO_KEYS, ())
+    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
+    raw = tags.get(NO_DATA)
+    no_data = float(raw[0].split(b"\0")[0]) if raw else None
+    return Header(tags, order, width, height, bands, box, found.get(PROJECTED_TYPE) or found.get(GEOGRAPHIC_TYPE) or 4326, no_data, dtype)
+
+
+def decode(data: bytes) -> Raster:
+    """Read a classic TIFF; BigTIFF, JPEG and other compressions are refused."""
+    h = header(data)
+    width, height, bands, dtype, tags = h.cols, h.rows, h.bands, h.dtype, h.tags
+    compression, predictor, planar = h.one(COMPRESSION, 1), h.one(PREDICTOR, 1), h.one(PLANAR, 1)
     unpack = {1: bytes, 5: _unlzw, 8: zlib.decompress, 32946: zlib.decompress}.get(compression)
     if unpack is None or predictor not in (1, 2):
         raise ValueError(f"compression {compression} with predictor {predictor} is not supported")
     tiled = TILE_OFFSETS in tags
-    part_w, part_h = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    part_w, part_h = (h.one(TILE_WIDTH, 0), h.one(TILE_HEIGHT, 0)) if tiled else (width, min(h.one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     across, down = -(-width // part_w), -(-height // part_h)
     per_part = bands if planar == 1 else 1
@@ -114,20 +149,10 @@ def decode(data: bytes) -> Raster:
         block = np.frombuffer(unpack(data[o : o + n]), dtype, rows * part_w * per_part).reshape(rows, part_w, per_part)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
-        h, w = min(rows, height - y), min(part_w, width - x)
+        high, wide = min(rows, height - y), min(part_w, width - x)
         for b in range(per_part):
-            out[plane + b, y : y + h, x : x + w] = block[:h, :w, b]
-    box = (0.0, 0.0, float(width), float(height))
-    if PIXEL_SCALE in tags and TIEPOINT in tags:
-        sx, sy = tags[PIXEL_SCALE][:2]
-        i, j, _, x, y = tags[TIEPOINT][:5]
-        left, top = x - i * sx, y + j * sy
-        box = (left, top - height * sy, left + width * sx, top)
-    keys = tags.get(GEO_KEYS, ())
-    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
-    raw = tags.get(NO_DATA)
-    no_data = float(raw[0].split(b"\0")[0]) if raw else None
-    return Raster(out, *box, found.get(PROJECTED_TYPE) or found.get(GEOGRAPHIC_TYPE) or 4326, no_data)
+            out[plane + b, y : y + high, x : x + wide] = block[:high, :wide, b]
+    return Raster(out, *h.box, h.epsg, h.no_data)
 
 
 def encode(r: Raster, deflate: bool = True, tile: int | None = None, order: str = "<", predictor: int = 1, rows_per_strip: int = 64) -> bytes:

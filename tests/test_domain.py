@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import os
 from types import SimpleNamespace
 
 import numpy as np
@@ -55,7 +56,7 @@ def test_reading_rasters(spark, folder):
     assert spark.read.format("geotiff").option("years", "1985-1986").option("band", 1).load(folder).count() == 2
     listed = rasters.list_files(spark, folder).orderBy("path").collect()
     assert [(r.year_idx, r.year) for r in listed] == list(enumerate(range(1980, 1991)))
-    assert rasters.profile(source.where("year = 1980")).count() == 4
+    assert rasters.profile(spark, folder, "*1980*").count() == 4 and {(r.cols, r.rows, r.year) for r in rasters.profile(spark, folder).collect()} == {(12, 8, y) for y in range(1980, 1991)}
     assert rasters.exists(spark, folder) and not rasters.exists(spark, folder + "/none")
 
 
@@ -66,9 +67,33 @@ def test_source_writes_what_it_reads(spark, folder, tmp_path):
     assert [np.nan_to_num(r.cells, nan=-9).tolist() for r in a] == [np.nan_to_num(r.cells, nan=-9).tolist() for r in b] and b[0].epsg == 4326
 
 
+def test_source_commits_blocks_and_overwrites(spark, folder, tmp_path, monkeypatch):
+    rasters.register(spark)
+    out = str(tmp_path / "out")
+    one = rasters.read_rasters(spark, folder, 0, (1980, 1980))
+    one.write.format("geotiff").mode("append").save(out)
+    rasters.read_rasters(spark, folder, 0, (1981, 1981)).write.format("geotiff").mode("overwrite").save(out)
+    assert sorted(os.listdir(out)) == ["av_1981v4.tif"]
+    with pytest.raises(Exception, match="without a path"):
+        one.withColumn("path", F.lit(None).cast("string")).write.format("geotiff").mode("append").save(out)
+    assert sorted(os.listdir(out)) == ["av_1981v4.tif"]
+
+
+def test_large_images_come_in_blocks():
+    image = Raster(np.arange(24.0).reshape(2, 3, 4))
+    rows = [r for b in rasters._rows("x/1999.tif", image, [1]) for r in b.to_pylist()]
+    assert [(r["first"], len(r["cells"])) for r in rows] == [(0, 12)]
+    before, rasters.BLOCK_CELLS = rasters.BLOCK_CELLS, 5
+    try:
+        rows = [r for b in rasters._rows("x/1999.tif", image, None) for r in b.to_pylist()]
+    finally:
+        rasters.BLOCK_CELLS = before
+    assert [(r["band"], r["first"], r["cells"][0]) for r in rows] == [(b, f, 12.0 * b + f) for b in (0, 1) for f in (0, 5, 10)]
+
+
 def test_paint_is_the_inverse_of_exploding(spark, folder, tmp_path):
     s = stack.read_stack(spark, folder, band=2, years=(1983, 1983))
-    grid = rasters.grid_of(rasters.read_rasters(spark, folder, 2)).first()
+    grid = rasters.grid_of(spark, folder).first()
     rasters.write_raster(s, grid, str(tmp_path / "1983.tif"))
     again = stack.read_stack(spark, str(tmp_path))
     assert sorted(map(str, s.select("cell", "value").collect())) == sorted(map(str, again.select("cell", "value").collect()))
@@ -174,8 +199,10 @@ def test_product_svd(spark, rows, cols, kind):
     assert linalg.residuals(as_matrix(spark, a), as_matrix(spark, b), m).max() < 1e-8
     cut = m.truncated(2)
     assert back(cut.u).shape == (rows, 2) and len(cut.s) == 2
-    full = linalg.product_svd_by_svd(as_matrix(spark, a), as_matrix(spark, b))
-    assert np.allclose(full.s[:rank], s[:rank])
+    ra, rb = (np.linalg.svd(x, full_matrices=False) for x in (a, b))
+    low = [(x[0][:, :2] * x[1][:2]) @ x[2][:2] for x in (ra, rb)]
+    ranks = linalg.product_svd(as_matrix(spark, a), as_matrix(spark, b), 2, 2)
+    assert len(ranks.s) <= 2 and np.allclose(back(ranks.u) @ np.diag(ranks.s) @ back(ranks.v).T, low[0] @ low[1].T)
     assert np.allclose(linalg.randomised_product(as_matrix(spark, a), as_matrix(spark, b), 2), s[:2], rtol=1e-6)
 
 
@@ -194,7 +221,31 @@ def test_low_rank_mca_cca_gcca(spark):
     assert np.allclose(c.s, np.linalg.svd(unit(low) @ unit(b).T)[1][:2])
     values, parts = linalg.gcca(x, y, normalise=False)
     assert np.allclose(values, np.linalg.svd(ca @ cb.T)[1][:5]) and same_up_to_sign(back(parts[0]), np.linalg.svd(ca @ cb.T)[0][:, :5], 1e-7)
-    assert len(linalg.gcca(x, y, x, q=2)[1]) == 3
+    z = rng.normal(size=(50, 5))
+    values, parts = linalg.gcca(x, y, as_matrix(spark, z), q=2, centre=False, normalise=False)
+    blocks = [a, b, z]
+    full = np.block([[np.zeros((50, 50)) if i == j else p @ q.T for j, q in enumerate(blocks)] for i, p in enumerate(blocks)])
+    want, vectors = np.linalg.eigh(full)
+    assert len(parts) == 3 and np.allclose(values, want[::-1][:2])
+    for k, part in enumerate(parts):
+        v = vectors[50 * k : 50 * k + 50, ::-1][:, :2]
+        assert same_up_to_sign(back(part), v / np.linalg.norm(v, axis=0), 1e-8)
+
+
+def by_embedding(a):
+    """SVD of a small matrix from the eigenvectors of [[0, A], [A', 0]]: another route to the same modes."""
+    rows = len(a)
+    values, vectors = np.linalg.eigh(np.block([[np.zeros((rows, rows)), a], [a.T, np.zeros((a.shape[1],) * 2)]]))
+    order = np.argsort(-values)[: min(a.shape)]
+    return [x / np.linalg.norm(x, axis=0) for x in (vectors[:rows, order], vectors[rows:, order])], values[order]
+
+
+def test_modes_by_another_route(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(20, 4)), rng.normal(size=(20, 4))
+    (u, v), s = by_embedding(a @ b.T)
+    m = linalg.product_svd(as_matrix(spark, a), as_matrix(spark, b))
+    assert np.allclose(m.s, s[:4]) and same_up_to_sign(back(m.u), u[:, :4], 1e-8) and same_up_to_sign(back(m.v), v[:, :4], 1e-8)
 
 
 def test_matrix_modes(spark):
@@ -204,12 +255,6 @@ def test_matrix_modes(spark):
         linalg.prepared(as_matrix(spark, x), 2)
 
 
-def test_given_truncation():
-    u, s, vt = np.eye(4, 3), np.array([3.0, 2.0, 1.0]), np.eye(3)
-    got = linalg.svd_by_embedding(u @ np.diag(s) @ vt)
-    assert np.allclose(got[1], s) and same_up_to_sign(got[0], u) and same_up_to_sign(got[2].T, vt.T)
-
-
 @settings(max_examples=6, deadline=None)
 @given(st.integers(0, 1000))
 def test_matmul_and_blocks(spark, seed):
@@ -238,6 +283,9 @@ def test_kmeans(spark, tmp_path):
     assert abs(cluster.cost(near).first().wssse - t[1].wssse) < 1e-6
     tie = cluster.nearest(as_matrix(spark, [[0.0]]), [[1.0], [-1.0]]).first()
     assert (tie.cluster, tie.d2) == (0, 1.0)
+    many = rng.normal(size=(300, 3))
+    far = ((x[:, None] - many) ** 2).sum(axis=2)
+    assert {(r.cell, r.cluster): r.d2 for r in cluster.nearest(m, many.tolist()).collect()} == pytest.approx({(i, int(d.argmin())): d.min() for i, d in enumerate(far)})
 
 
 def brute_step(z, w, rows, cols, k, l, eps, divergence):  # noqa: E741

@@ -37,7 +37,7 @@ def test_shuffles(spark):
     assert exchanges(stats.cell_summary(spark.read.parquet(f"{D}/lineitem.parquet").selectExpr("l_suppkey as cell", "l_quantity as value"))) == 1
 
 
-@pytest.mark.parametrize("name", ["feature_matrix", "wide_matrix", "mask_values", "mask_nonzero", "pair_products", "day_correlation", "paint_correlation", "cell_summary", "nearest_centre", "matrix_product", "first_image", "reindex_dense"])
+@pytest.mark.parametrize("name", ["feature_matrix", "wide_matrix", "mask_values", "mask_nonzero", "pair_products", "day_correlation", "paint_correlation", "cell_summary", "matrix_product", "first_image", "reindex_dense", "normalised_years", "mask_polygon"])
 def test_no_cross_joins_and_no_python(spark, name):
     text = plan(QUERIES[name](spark, D))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|ArrowEval|MapInArrow|BatchEvalPython", text)
