@@ -57,10 +57,11 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, co
     out, votes = np.zeros((len(starts), BLOCKS), np.uint8), np.rint(weights * (1 << 20)).astype(np.int64)
     if not len(starts):
         return out
-    inside = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + counts, -1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    by_start = np.argsort(starts, kind="stable")
+    begin = starts[by_start]
+    reach = np.maximum.accumulate(begin + counts[by_start])
+    new = np.maximum(begin, np.r_[0, reach[:-1]])  # what earlier runs do not hold
+    at = _ranges(new, reach - new)
     low = np.searchsorted(at, starts)
     high, order = low + counts, np.argsort(low, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(low[order] // CHUNK)) + 1):
@@ -84,12 +85,24 @@ def _ranges(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
 Weights = dict[int, tuple[float, np.ndarray, np.ndarray]]
 
 
+def _find(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes that are known, and where among the known ones (sorted) they are; most others fail at a table of their top bits."""
+    if not len(known):
+        return (np.zeros(0, np.int64),) * 2
+    top = np.zeros(1 << 20, bool)
+    top[known >> np.uint64(44)] = True
+    at = np.flatnonzero(top[hashes >> np.uint64(44)])
+    place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+    same = known[place] == hashes[at]
+    return at[same], place[same]
+
+
 def _weigh(hashes: np.ndarray, plain: float, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The weight of each shingle."""
-    if not len(known):
-        return np.full(len(hashes), plain)
-    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[place] == hashes, weight[place], plain)
+    out = np.full(len(hashes), plain)
+    at, place = _find(hashes, known)
+    out[at] = weight[place]
+    return out
 
 
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +200,16 @@ class Items:
         doc_of = np.repeat(np.arange(len(words.counts)), words.counts)
         for size, (known, weight, groups, runs) in self.by_size.items():
             hashes, ok = _shingles(words, h, size)
-            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            shared = (known[place] == hashes) & ok
-            hit = np.flatnonzero(shared)
+            hit, place = _find(hashes, known)
+            hit, place = hit[ok[hit]], place[ok[hit]]
             if not len(hit):
                 continue
             w = _weigh(hashes, *(weights or self.weights)[size])
-            cum = np.r_[0, np.cumsum(np.where(shared, weight[place], 0))]
+            cum = np.zeros(len(hashes) + 1)
+            cum[hit + 1] = weight[place]
+            cum = np.cumsum(cum)
             first, last = words.first[doc_of[hit]], words.first[doc_of[hit] + 1]
+            laid = []
             for group in groups:
                 least = THRESHOLD * group.totals.min() - 1e-6
                 # Every window around a shared shingle, but for those that cannot hold enough.
@@ -206,10 +221,14 @@ class Items:
                 end = np.minimum(begin + group.words, words.first[doc_of[begin] + 1])
                 most = cum[end - size + 1] - cum[begin]
                 rich = most >= least
-                begin, end, most = begin[rich], end[rich], most[rich]
+                laid.append((begin[rich], end[rich], most[rich]))
+            # Windows of all lengths together, as they share their votes.
+            begin, end, _ = (np.concatenate(c) for c in zip(*laid, strict=True))
+            prints = np.split(fingerprints(hashes, w, begin, end - begin - size + 1), np.cumsum([len(x) for x, _, _ in laid])[:-1])
+            for group, mine, (begin, end, most) in zip(groups, prints, laid, strict=True):
                 if not len(begin):
                     continue
-                window, at = group.candidates(fingerprints(hashes, w, begin, end - begin - size + 1))
+                window, at = group.candidates(mine)
                 begin, end, most, total, item = begin[window], end[window], most[window], group.totals[at], group.items[at]
                 # The most promising windows first; one that cannot be better than the best so far is passed over.
                 order = np.lexsort((begin, -most, item, doc_of[begin]))
