@@ -105,8 +105,9 @@ def cost(assigned: DataFrame) -> DataFrame:
 class CoClusters:
     """Block-average co-clustering of a long matrix (i, j, z[, w]) into k row and l column clusters.
 
-    Each half-step is one aggregation: the sums of w, w z and w z^2 for every row and column cluster (or the other way round) are enough
-    for the distances to all prototypes.  Block means are k by l numbers and come to the driver.
+    Each half-step is one pass over the matrix: the sums of w, w z and w z^2 for every row and column cluster (or the other way round).  They are kept as
+    a table and are enough for the block means before and after the rows move, and for the distances to all prototypes.  Block means are k by l
+    numbers and come to the driver.
     distance: euclidean or divergence (I-divergence).
     """
 
@@ -121,16 +122,21 @@ class CoClusters:
         at = F.col(key) % n if self.start == "mod" else F.pmod(F.xxhash64(F.col(key), F.lit(self.seed), F.lit(run), F.lit(key)), F.lit(n))
         return ids.select(key, at.cast("int").alias("c"))
 
-    def means(self, z: DataFrame, rows: DataFrame, cols: DataFrame, grand: float) -> list[list[float]]:
-        """Block means (sum of w z + mean(Z) epsilon) / (sum of w + epsilon)."""
-        met = z.join(rows.withColumnRenamed("c", "rc"), "i").join(cols.withColumnRenamed("c", "cc"), "j")
-        found = {(r.rc, r.cc): (r.sz, r.sw) for r in met.groupBy("rc", "cc").agg(F.sum(F.col("w") * F.col("z")).alias("sz"), F.sum("w").alias("sw")).collect()}
+    def sums(self, z: DataFrame, key: str, other: str, others: DataFrame) -> DataFrame:
+        """(key, oc, sw, sz, szz): sums of each row over each cluster of columns, or the other way round."""
+        met = z.join(others.withColumnRenamed("c", "oc"), other)
+        return met.groupBy(key, "oc").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("z")).alias("sz"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("szz"))
+
+    def means(self, sums: DataFrame, key: str, mine: DataFrame, grand: float) -> list[list[float]]:
+        """Block means (sum of w z + mean(Z) epsilon) / (sum of w + epsilon), a list for each cluster of the key's side."""
+        met = sums.join(mine, key).groupBy("c", "oc").agg(F.sum("sz").alias("sz"), F.sum("sw").alias("sw"))
+        found = {(r.c, r.oc): (r.sz, r.sw) for r in met.collect()}
         at = lambda a, b: found.get((a, b), (0.0, 0.0))
-        return [[(at(a, b)[0] + grand * self.epsilon) / (at(a, b)[1] + self.epsilon) for b in range(self.l)] for a in range(self.k)]
+        n, m = (self.k, self.l) if key == "i" else (self.l, self.k)
+        return [[(at(a, b)[0] + grand * self.epsilon) / (at(a, b)[1] + self.epsilon) for b in range(m)] for a in range(n)]
 
-    def assign(self, z: DataFrame, key: str, other: str, others: DataFrame, prototypes: list[list[float]]) -> DataFrame:
+    def assign(self, sums: DataFrame, key: str, prototypes: list[list[float]]) -> DataFrame:
         """(key, c, d): nearest prototype of each row (or column), the lowest on ties; prototypes: one list for each, over the other side's clusters."""
-        sums = z.join(others.withColumnRenamed("c", "oc"), other).groupBy(key, "oc").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("z")).alias("sz"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("szz"))
 
         def far(p: list[float]) -> Column:
             m = F.element_at(F.array(*[F.lit(float(x)) for x in p]), F.col("oc") + 1)
@@ -144,10 +150,11 @@ class CoClusters:
 
     def steps(self, z: DataFrame, rows: DataFrame, cols: DataFrame, grand: float, tmp: Scratch) -> Iterator[tuple[DataFrame, DataFrame, float]]:
         while True:
-            m = self.means(z, rows, cols, grand)
-            rows = tmp.table(self.assign(z, "i", "j", cols.select("j", "c"), m), "rows").select("i", "c")
-            m = self.means(z, rows, cols, grand)
-            done = tmp.table(self.assign(z, "j", "i", rows, [list(x) for x in zip(*m, strict=True)]), "cols")
+            by_row = tmp.table(self.sums(z, "i", "j", cols), "by-row")
+            rows = tmp.table(self.assign(by_row, "i", self.means(by_row, "i", rows, grand)).select("i", "c"), "rows")
+            m = self.means(by_row, "i", rows, grand)
+            by_col = self.sums(z, "j", "i", rows)
+            done = tmp.table(self.assign(by_col, "j", [list(x) for x in zip(*m, strict=True)]), "cols")
             error = done.agg(F.sum(F.pow("d", F.lit(1.0 if self.divergence else 2.0)))).first()[0]
             cols = done.select("j", "c")
             yield rows, cols, error

@@ -560,7 +560,7 @@ def _coclusters(spark: SparkSession, d: str):
 def block_means(spark, d):
     z, model = _coclusters(spark, d)
     rows, cols = model._first(z.select("i").distinct(), "i", 3, 0), model._first(z.select("j").distinct(), "j", 2, 0)
-    m = model.means(z, rows, cols, z.agg(F.avg("z")).first()[0])
+    m = model.means(model.sums(z, "i", "j", cols), "i", rows, z.agg(F.avg("z")).first()[0])
     return spark.createDataFrame([(a, b, round(m[a][b], 4)) for a in range(3) for b in range(2)], "rc int, cc int, m double")
 
 
@@ -573,7 +573,8 @@ def _row_step(spark: SparkSession, d: str, distance: str) -> DataFrame:
     z, model = _coclusters(spark, d)
     model = cluster.CoClusters(3, 2, distance, start="mod")
     rows, cols = model._first(z.select("i").distinct(), "i", 3, 0), model._first(z.select("j").distinct(), "j", 2, 0)
-    return model.assign(z, "i", "j", cols, model.means(z, rows, cols, z.agg(F.avg("z")).first()[0])).select("i", "c", r4("d"))
+    sums = model.sums(z, "i", "j", cols)
+    return model.assign(sums, "i", model.means(sums, "i", rows, z.agg(F.avg("z")).first()[0])).select("i", "c", r4("d"))
 
 
 @query(_assigned(False))

@@ -325,6 +325,27 @@ def test_coclustering(spark, distance):
     assert [x.c for x in rows.orderBy("i").collect()] == r.tolist() and [x.c for x in cols.orderBy("j").collect()] == c.tolist()
 
 
+def test_coclustering_from_hashed_starts_keeps_the_best_run(spark):
+    rng = np.random.default_rng(6)
+    z = np.kron(np.array([[1.0, 5.0], [9.0, 2.0]]), np.ones((6, 4))) + rng.random((12, 8)) * 0.1
+    long = spark.createDataFrame([(int(i), int(j), float(z[i, j])) for i, j in np.ndindex(*z.shape)], "i long, j long, z double")
+    rows, cols, status = cluster.CoClusters(2, 2, runs=3, iterations=8, best_of_runs=True, seed=3).fit(long)
+    r, c = [x.c for x in rows.orderBy("i").collect()], [x.c for x in cols.orderBy("j").collect()]
+    assert "converged" in status and len(set(r[:6])) == len(set(r[6:])) == len(set(c[:4])) == len(set(c[4:])) == 1 and r[0] != r[6] and c[0] != c[4]
+    first = [cluster.CoClusters(2, 2, seed=k)._first(spark.range(200).withColumnRenamed("id", "i"), "i", 2, run).orderBy("i").collect() for k, run in ((1, 0), (1, 0), (1, 1), (2, 0))]
+    assert first[0] == first[1] != first[2] and first[0] != first[3] and {x.c for x in first[0]} == {0, 1}
+
+
+def test_text_sources_and_transposed_lines(spark, tmp_path):
+    (tmp_path / "a.set").write_text("one\ntwo\n")
+    assert [r[0] for r in text.read_lines(spark, str(tmp_path / "a.set"), whole=True).collect()] == ["one\ntwo\n"]
+    (tmp_path / "elbow.csv").write_text("2,75,1.5\nx,y\n3,75,0.5\n")
+    assert sorted(tuple(r) for r in text.read_elbow(spark, str(tmp_path / "elbow.csv")).collect()) == [(2, 75, 1.5), (3, 75, 0.5)]
+    v = spark.createDataFrame([(m, c, 10.0 * m + c) for m in (0, 1) for c in (3, 1, 2)], "mode int, cell long, value double")
+    text.write_transposed(v, str(tmp_path / "t"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "t")).collect()] == ["1.0,11.0", "2.0,12.0", "3.0,13.0"]
+
+
 def test_text_sinks(spark, tmp_path):
     df = spark.createDataFrame([("1.5, 2,x",), ("",)], "value string")
     assert [r[0] for r in df.select(text.parse_numbers(F.col("value"))).collect()] == [[1.5, 2.0, None], [None]]
@@ -346,6 +367,7 @@ def test_results_are_kept_by_their_parameters(spark, tmp_path):
     for p in ({"k": 1}, {"k": 1}, {"k": 2}):
         assert computed(spark, str(tmp_path), "t", p, make).count() == 3
     assert len(made) == 2
+    assert computed(spark, str(tmp_path), "t", {"k": 1}, make, again=True).count() == 3 and len(made) == 3
 
 
 def test_streaming(spark, folder):
