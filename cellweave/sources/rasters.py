@@ -150,6 +150,12 @@ def save_bytes(spark: SparkSession, path: str, blob: bytes) -> None:
     fs.rename(part, target)
 
 
+def created(spark: SparkSession, path: str):
+    """A new file of any file system of Spark's, as a stream of the JVM with write(bytes) and close()."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

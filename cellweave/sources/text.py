@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.sources.rasters import created
+
+#: Cells of a vector that one piece of a line holds.
+BLOCK = 65_536
+
 
 def read_lines(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     return spark.read.text(path, wholetext=whole)
@@ -31,19 +36,44 @@ def diagonal(values: DataFrame, mode: str = "mode", value: str = "value") -> Dat
     return wide.select(mode, F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda j: F.when(j == F.col(mode), F.col(value)).otherwise(F.lit(0.0))).alias("values"))
 
 
-def mode_lines(u: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
-    """(mode, line_no, line): for each mode its left vector, singular value and right vector, one line each.
+def mode_blocks(u: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    """(mode, line_no, block, piece): for each mode its left vector (line 0), singular value (1) and right vector (2), in pieces of BLOCK cells.
 
-    u and v: (mode, cell, value), s: (mode, value).
+    u and v: (mode, cell, value), s: (mode, value).  No task holds more than a piece of a vector.
     """
-    line = lambda df, k: df.groupBy("mode").agg(number_line(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda x: x["value"])).alias("line")).withColumn("line_no", F.lit(k))
-    middle = s.select("mode", F.col("value").cast("string").alias("line"), F.lit(1).alias("line_no"))
-    return line(u, 0).unionByName(middle).unionByName(line(v, 2)).select("mode", "line_no", "line")
 
+    def line(df: DataFrame, k: int) -> DataFrame:
+        sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda x: x["value"])
+        return df.groupBy("mode", F.floor(F.col("cell") / BLOCK).alias("block")).agg(number_line(sorted_).alias("piece")).select("mode", F.lit(k).alias("line_no"), "block", "piece")
 
-def write_modes(lines: DataFrame, path: str) -> None:
-    """One directory with one file for each mode."""
-    lines.repartition("mode").sortWithinPartitions("mode", "line_no").select("mode", "line").write.mode("overwrite").partitionBy("mode").text(path)
+    middle = s.select("mode", F.lit(1).alias("line_no"), F.lit(0).cast("long").alias("block"), F.col("value").cast("string").alias("piece"))
+    return line(u, 0).unionByName(middle).unionByName(line(v, 2))
+
+
+def mode_lines(u: DataFrame, s: DataFrame, v: DataFrame) -> DataFrame:
+    """(mode, line_no, line): the pieces of mode_blocks() joined, for vectors that fit in a string."""
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda x: x["piece"])
+    return mode_blocks(u, s, v).groupBy("mode", "line_no").agg(F.array_join(pieces, ",").alias("line"))
+
+
+def write_modes(blocks: DataFrame, path: str) -> None:
+    """One directory with one file of three lines for each mode, from mode_blocks(): sorted by Spark, appended by the driver piece by piece."""
+    spark, at, out = blocks.sparkSession, None, None
+    for mode, line_no, _, piece in blocks.orderBy("mode", "line_no", "block").select("mode", "line_no", "block", "piece").toLocalIterator():
+        if at is None or at[0] != mode:
+            if out:
+                out.write(b"\n")
+                out.close()
+            out = created(spark, f"{path}/mode={mode}.txt")
+        elif at[1] != line_no:
+            out.write(b"\n")
+        else:
+            out.write(b",")
+        out.write(piece.encode())
+        at = mode, line_no
+    if out:
+        out.write(b"\n")
+        out.close()
 
 
 def write_transposed(vectors: DataFrame, path: str) -> None:

@@ -353,8 +353,11 @@ def test_text_sinks(spark, tmp_path):
     s = spark.createDataFrame([(0, 9.0)], "mode int, value double")
     out = text.mode_lines(lines, s, lines)
     assert [r.line for r in out.orderBy("line_no").collect()] == ["0.5,1.5", "9.0", "0.5,1.5"]
-    text.write_modes(out, str(tmp_path / "modes"))
-    assert spark.read.text(str(tmp_path / "modes/mode=0")).count() == 3
+    for block in (65_536, 5):
+        text.BLOCK = block
+        text.write_modes(text.mode_blocks(lines, s, lines), str(tmp_path / "modes"))
+        assert (tmp_path / "modes/mode=0.txt").read_text() == "0.5,1.5\n9.0\n0.5,1.5\n"
+    text.BLOCK = 65_536
     program = tmp_path / "tool.sh"
     program.write_text("#!/bin/sh\nsed s/a/b/\n")
     program.chmod(0o755)
