@@ -65,10 +65,47 @@ sim AS (SELECT doc_id, item_id, b, size, round(least(sum(CASE WHEN x.s IS NOT NU
 SELECT doc_id, item_id, CAST(b - 1 AS BIGINT) AS start, CAST(size AS BIGINT) AS n_words, CAST(similarity AS DOUBLE) AS similarity FROM sim WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, b) = 1"""
 
+
+
+def _crc32(bytes_: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit; 3988292384 is its reversed polynomial."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, 3988292384 * (x % 2)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {bits}), 4294967295)"
+
+
+def _bytes(hexed: str) -> str:
+    return f"list_transform(range(1, length({hexed}) + 1, 2), lambda k: CAST('0x' || substr({hexed}, k, 2) AS BIGINT))"
+
+
+def _little(value: str) -> str:
+    """Four bytes of a number, the lowest first."""
+    return " || ".join(f"unhex(substr(printf('%08x', {value}), {k}, 2))" for k in (7, 5, 3, 1))
+
+
+#: The stored form is a WAVE file: mono, 8000 samples a second, 8 bits.
+MEDIA = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, raw || unhex(repeat('00', CAST(greatest(64, ceil(octet_length(raw) / 64) * 64) AS INTEGER) - octet_length(raw))) AS payload FROM d),
+h AS (SELECT *, CAST(octet_length(payload) AS BIGINT) AS n, right(hex(payload), 128) AS tail FROM p),
+m AS (SELECT *, encode('RIFF') || {_little("n + 36")} || encode('WAVEfmt ') || unhex('1000000001000100401F0000401F000001000800') || encode('data') || {_little("n")} || payload AS media FROM h)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(payload) AS payload_sha256, CAST({_crc32(_bytes("tail"))} AS BIGINT) AS tail_crc32, CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256 FROM m"""
+
+#: The empty string stands for the end of a text, as no word is empty.
+BASE = f"""
+WITH d AS (SELECT doc_id, {_crc32(_bytes("hex(encode(CAST(doc_id AS VARCHAR)))"))} % 5 = 1 AS held_out,
+           list_append({_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS t FROM documents),
+e AS (SELECT doc_id, held_out, unnest(t) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM e WHERE NOT held_out GROUP BY x),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(n AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM e LEFT JOIN c USING (x), n GROUP BY doc_id, held_out, n, v"""
+
 ORACLES = {
     "op2_ngram_jaccard_join": NEAR,
     "op4_substring_dedup": REPEATS,
     "op5_url_filters": URLS,
     "op7_html_extraction": PAGES,
     "op10_benchmark_decontamination": LEAKS,
+    "media_payloads": MEDIA,
+    "lm_base_scores": BASE,
 }

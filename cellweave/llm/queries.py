@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellweave.llm.classify import fit, score
 from cellweave.llm.decontam import contaminated
@@ -67,6 +68,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+# What SQL can say of two operators whose other columns it cannot compute.
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 without its features: what was stored and read back."""
+    return op6_media_columns(spark, sf_dir).drop("feature")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's counts and base; the model, which they do not depend on, is not trained."""
+    base = MarkovScorer(_read(spark, sf_dir, "documents"), iterations=0).scores()
+    return base.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -78,4 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "media_payloads": media_payloads,
+    "lm_base_scores": lm_base_scores,
 }
