@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _near(docs: DataFrame, id_col: str, text_col: str, to_drop: bool) -> DataFrame:
-    """near_duplicates(), or with to_drop (doc_id, th), id and hash of the text, of the rows that have a smaller document in their group."""
+    """near_duplicates(), or with to_drop (doc_id, th) of the rows that have a smaller document in their group; th: 0, or where the id is repeated a hash of the text."""
     spark = docs.sparkSession
     source = id_and_text(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     with Scratch(spark) as tmp:
@@ -299,7 +299,10 @@ def _near(docs: DataFrame, id_col: str, text_col: str, to_drop: bool) -> DataFra
         out = out.select("doc_id", F.coalesce("component", "copy_id").alias("class_id"), "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "k1", "k2")
         if to_drop:
             out = tmp.table(out.where("doc_id <> class_id").select("doc_id", "k1", "k2"), "later")
-            return tmp.keep(rows.select("doc_id", "th", "k1", "k2").join(out, ["doc_id", "k1", "k2"]).select("doc_id", "th").distinct(), "drop")
+            zero = F.lit(0).cast("long").alias("th")
+            several = rows.join(again, "doc_id").select("doc_id", "th", "k1", "k2").join(out, ["doc_id", "k1", "k2"]).select("doc_id", "th").distinct()
+            single = out.join(again, "doc_id", "left_anti").select("doc_id", zero)
+            return tmp.keep((out.select("doc_id", zero) if again.isEmpty() else single.unionByName(several)).repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "drop")
         none = F.lit(None).cast("long")
         alone = source.where("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
         return tmp.keep(out.drop("k1", "k2").unionByName(alone), "near")
@@ -311,5 +314,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id stay, and so do words that were not compared as another row with their id stood for it.
     """
     rest = _near(docs, id_col, text_col, True).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
+    same = (F.col(id_col).cast("long") == F.col("__id")) & F.col("__th").isin(F.lit(0), F.xxhash64(F.col(text_col).cast("string")))
     return docs.join(rest, same, "left_anti")
