@@ -4,6 +4,7 @@ import math
 import os
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -232,6 +233,28 @@ def test_low_rank_mca_cca_gcca(spark):
         assert same_up_to_sign(back(part), v / np.linalg.norm(v, axis=0), 1e-8)
 
 
+@pytest.mark.parametrize("entries,piece", [(1 << 22, 1 << 21), (7, 11)])
+def test_expanded(spark, monkeypatch, entries, piece):
+    """Every pair of cells has its entry, however rows are dealt and vectors cut, and also where all entries are 0."""
+    monkeypatch.setattr(linalg, "ENTRIES", entries)
+    monkeypatch.setattr(linalg, "PIECE", piece)
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(11, 3)), rng.normal(size=(7, 3))
+    for x in (a, a * 0):
+        rows = linalg.expanded(linalg.product_svd(as_matrix(spark, x), as_matrix(spark, b))).collect()
+        got = np.full((11, 7), np.nan)
+        for r in rows:
+            got[r.i, r.j] = r.v
+        assert len(rows) == 77 and np.allclose(got, x @ b.T)
+
+
+def test_rounded(spark):
+    values = [0.0, -0.0, 0.25, -0.25, 0.049999999999999996, 1.05, -7.349, 123456.789, -1e300, 4503599627370497.0, None]
+    got = [r.v for r in spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double").select("k", scalar.rounded(F.col("x"), 1).alias("v")).orderBy("k").collect()]
+    want = [r[0] for r in duckdb.sql("SELECT round(x, 1) + 0 FROM (SELECT unnest(?) AS x)", params=[values]).fetchall()]
+    assert got == want and not np.signbit(got[1])
+
+
 def by_embedding(a):
     """SVD of a small matrix from the eigenvectors of [[0, A], [A', 0]]: another route to the same modes."""
     rows = len(a)

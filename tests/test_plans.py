@@ -41,3 +41,11 @@ def test_shuffles(spark):
 def test_no_cross_joins_and_no_python(spark, name):
     text = plan(QUERIES[name](spark, D))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|ArrowEval|MapInArrow|BatchEvalPython", text)
+
+
+@pytest.mark.parametrize("name", ["canonical_correlation", "generalised_correlation", "product_svd_by_svd", "centred_product_modes", "maximum_covariance", "product_svd_modes"])
+def test_entries_of_a_product_are_made_in_place(spark, name):
+    """The product of n cells by n cells has n * n rows, so nothing may be shuffled, grouped or sorted after the vectors have met."""
+    text = plan(QUERIES[name](spark, D))
+    assert re.search("NestedLoopJoin", text) and not re.search("Aggregate|SortMergeJoin|ShuffledHashJoin|CartesianProduct", text)
+    assert not re.search("hashpartitioning", text) and len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 1
