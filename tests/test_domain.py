@@ -248,6 +248,19 @@ def test_expanded(spark, monkeypatch, entries, piece):
         assert len(rows) == 77 and np.allclose(got, x @ b.T)
 
 
+def test_expanded_is_written_small(spark, tmp_path):
+    """Cells alike stand side by side whatever their keys are, so that files hold their entries as runs: the n * n rows are what fills the disk."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(24, 3))[rng.integers(0, 24, 2500)], rng.normal(size=(40, 3))[rng.integers(0, 40, 2600)]
+    linalg.expanded(linalg.product_svd(as_matrix(spark, a), as_matrix(spark, b))).select("i", "j", scalar.rounded(F.col("v"), 6).alias("v")).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    got = np.full((2500, 2600), np.nan)
+    rows = duckdb.sql(f"SELECT i, j, v FROM '{tmp_path}/out/*.parquet'").fetchnumpy()
+    got[rows["i"], rows["j"]] = rows["v"]
+    assert len(rows["v"]) == got.size and np.allclose(got, a @ b.T, atol=1e-6)
+    assert sum(x.stat().st_size for x in files) < 0.5 * got.size
+
+
 def test_rounded(spark):
     values = [0.0, -0.0, 0.25, -0.25, 0.049999999999999996, 1.05, -7.349, 123456.789, -1e300, 4503599627370497.0, None]
     got = [r.v for r in spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double").select("k", scalar.rounded(F.col("x"), 1).alias("v")).orderBy("k").collect()]
